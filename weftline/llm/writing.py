@@ -66,14 +66,19 @@ def word_distance(a: list[str], b: list[str], limit: int) -> int:
         a, b = a[1:], b[1:]
     while a and b and a[-1] == b[-1]:
         a, b = a[:-1], b[:-1]
-    if abs(len(a) - len(b)) > limit or min(len(a), len(b)) > 40 * (limit + 1):
+    if abs(len(a) - len(b)) > limit:
         return limit + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        left, row[0], best = row[0], i, i
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    far = limit + 1
+    row = [j if j <= limit else far for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):  # only the band of 2 * limit + 1 cells can stay within the limit
+        lo, hi = max(1, i - limit), min(len(b), i + limit)
+        left, row[lo - 1], best = row[lo - 1], i if lo == 1 and i <= limit else far, far
+        best = row[lo - 1]
+        for j in range(lo, hi + 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != b[j - 1]), far)
             best = min(best, row[j])
+        if hi < len(b):
+            row[hi + 1] = far
         if best > limit:
-            return limit + 1
-    return min(row[len(b)], limit + 1)
+            return far
+    return min(row[len(b)], far)
