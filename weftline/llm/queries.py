@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from weftline.llm.cross_split import p1_found, p1_report
+from weftline.llm.leaks import p2_cleaned, p2_found
 
 QUERIES = {
     "p1_found": p1_found,
     "p1_report": p1_report,
+    "p2_found": p2_found,
+    "p2_cleaned": p2_cleaned,
 }
 
 SQL: dict[str, str] = {}
