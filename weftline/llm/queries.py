@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from weftline.llm.cross_split import p1_found, p1_report
+from weftline.llm.history import p3_found
 from weftline.llm.leaks import p2_cleaned, p2_found
 
 QUERIES = {
@@ -10,6 +11,7 @@ QUERIES = {
     "p1_report": p1_report,
     "p2_found": p2_found,
     "p2_cleaned": p2_cleaned,
+    "p3_found": p3_found,
 }
 
 SQL: dict[str, str] = {}
