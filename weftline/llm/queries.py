@@ -5,6 +5,7 @@ from __future__ import annotations
 from weftline.llm.cross_split import p1_found, p1_report
 from weftline.llm.history import p3_found
 from weftline.llm.leaks import p2_cleaned, p2_found
+from weftline.llm.spans import p8_found, p8_shared
 
 QUERIES = {
     "p1_found": p1_found,
@@ -12,6 +13,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_cleaned": p2_cleaned,
     "p3_found": p3_found,
+    "p8_found": p8_found,
+    "p8_shared": p8_shared,
 }
 
 SQL: dict[str, str] = {}
