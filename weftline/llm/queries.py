@@ -5,6 +5,7 @@ from __future__ import annotations
 from weftline.llm.cross_split import p1_found, p1_report
 from weftline.llm.history import p3_found
 from weftline.llm.leaks import p2_cleaned, p2_found
+from weftline.llm.pairs import p5_found
 from weftline.llm.spans import p8_found, p8_shared
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_cleaned": p2_cleaned,
     "p3_found": p3_found,
+    "p5_found": p5_found,
     "p8_found": p8_found,
     "p8_shared": p8_shared,
 }
