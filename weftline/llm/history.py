@@ -4,13 +4,13 @@ A row's dedup fields are compared apart from their writing. Two things make it a
 same fields (any response), or one whose word, in its field or as quoted in another field, differs by a single slip while the
 rest agrees and the response is the same but for ``max_words`` words.
 
-The index has three tables in one folder, bucketed by their keys so that a probe shuffles the batch and never the history:
+The index has three tables in one folder, the first two bucketed by their keys so that a probe shuffles the batch and not the history:
 
 * ``keys``: each combination of task and fields with its earliest arrival;
-* ``segments``: for each distinct entry the two segments of its word, stored by side and segment length. With one slip
+* ``segments``: for each distinct entry (known by a 64-bit hash) the two segments of its word, stored by side and segment length. With one slip
   allowed, two segments are enough: one stays whole (one or two characters in the middle belong to neither, so a swap of
   neighbours is covered), and a word of length n is probed with the prefixes and suffixes that words of n-1, n and n+1 have;
-* ``entries``: word and response of each distinct entry, for the verification.
+* ``rows``: word and response of each entry, read for the candidates that are verified.
 
 A segment that very many entries share would give quadratic candidates. Beyond ``hot`` entries a segment is therefore joined
 together with blocks of the response: its words fall into ``2 * max_words + 1`` blocks by hash; ``max_words`` changed words touch
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -68,34 +69,62 @@ def hide_word(text: str, word: str) -> str:
 
 def response_words(response: str | None, word: str, parts: int) -> list[str]:
     """Words of the response with the entry's own word (``parts`` words, or one slip away) as a mark."""
-    ws, out, i = words(response), [], 0
-    while i < len(ws):
-        for k in dict.fromkeys((parts, 1, parts + 1)):
-            if k and i + k <= len(ws) and abs(sum(map(len, ws[i : i + k])) - len(word)) <= 1 and one_slip("".join(ws[i : i + k]), word):
-                out.append(_WORD)
-                i += k
-                break
-        else:
-            out.append(ws[i])
-            i += 1
+    ws, n = words(response), len(word)
+    out = [_WORD if -2 < len(x) - n < 2 and one_slip(x, word) else x for x in ws]
+    for k in (parts, parts + 1):
+        if k < 2 or _WORD in out:
+            continue
+        merged, i = [], 0
+        while i < len(ws):
+            part = "".join(ws[i : i + k])
+            hit = -2 < len(part) - n < 2 and one_slip(part, word)
+            merged.append(_WORD if hit else ws[i])
+            i += k if hit else 1
+        out = merged
     return out
 
 
-def _normal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for row_id, ts, task, word, rest, response in zip(pdf["row_id"], pdf["arrived"], pdf["task"], pdf["word"], pdf["rest"], pdf["response"], strict=True):
-            w = squash(word)
-            fields = [squash(x) for x in rest]
-            if not w or not all(fields):
-                continue
-            same = hashlib.md5("\n".join((task, w, *fields)).encode()).digest()
-            near = _number("\n".join((task, *(hide_word(f, w) for f in fields))))
-            rows.append((row_id, ts, same, near, w, " ".join(response_words(response, w, len(words(word))))))
-        yield pd.DataFrame(rows, columns=["row_id", "arrived", "same", "near", "word", "reply"])
+def segments(near: int, word: str) -> tuple[list[int], int]:
+    """Numbers of the prefixes and suffixes that words of up to one slip share with this one, and where its own two start."""
+    n = len(word)
+    sizes = sorted({max(1, (m - 1) // 2) for m in (n - 1, n, n + 1)})
+    out = [_number(f"{near}{side}{part}") for k in sizes for side, part in (("<", word[:k]), (">", word[n - k :]))]
+    return out, 2 * sizes.index(max(1, (n - 1) // 2))
+
+
+def reply_blocks(reply: list[str], blocks: int) -> int:
+    """The words' hashes summed up by block, each block in an equal share of 60 bits."""
+    width, sums = 60 // blocks, [0] * blocks
+    for w in reply:
+        b = zlib.crc32(w.encode())
+        sums[b % blocks] += b // blocks
+    return sum((x & ((1 << width) - 1)) << (width * z) for z, x in enumerate(sums))
 
 
-def normal_rows(rows: DataFrame, specs: DataFrame) -> DataFrame:
+def _normal(blocks: int):
+    columns = ["row_id", "arrived", "same", "entry", "word", "reply", "probes", "own", "blocks"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for row_id, ts, task, word, rest, response in zip(pdf["row_id"], pdf["arrived"], pdf["task"], pdf["word"], pdf["rest"], pdf["response"], strict=True):
+                w = squash(word)
+                fields = [squash(x) for x in rest]
+                if not w or not all(fields):
+                    continue
+                same = hashlib.md5("\n".join((task, w, *fields)).encode()).digest()
+                near = _number("\n".join((task, *(hide_word(f, w) for f in fields))))
+                reply = response_words(response, w, len(words(word)))
+                text = " ".join(reply)
+                probes, own = segments(near, w)
+                rows.append((row_id, ts, same, _number(f"{near}\n{w}\n{text}") if reply else None, w, text, probes, own, reply_blocks(reply, blocks)))
+            out = pd.DataFrame(rows, columns=columns)
+            yield out.astype({"entry": "Int64"})
+
+    return run
+
+
+def normal_rows(rows: DataFrame, specs: DataFrame, blocks: int = 5) -> DataFrame:
     """Rows with comparable forms of their dedup fields; rows lacking one are left out.
 
     specs is a fixed small table (name, dedup_key, seed_term_field) and is broadcast. A path without a dot means a column, or else a field of ``meta``.
@@ -122,28 +151,7 @@ def normal_rows(rows: DataFrame, specs: DataFrame) -> DataFrame:
         "response",
     )
     out = out.where(F.col("word").isNotNull() & F.col("arrived").isNotNull() & ~F.exists("rest", lambda x: x.isNull()))
-    return out.mapInPandas(_normal, "row_id bigint, arrived bigint, same binary, near bigint, word string, reply string")
-
-
-def _segments(blocks: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for entry, near, word, reply in zip(pdf["entry"], pdf["near"], pdf["word"], pdf["reply"], strict=True):
-                n, parts = len(word), [0] * blocks
-                for w in reply.split(" "):
-                    b = _number(w)
-                    parts[b % blocks] = (parts[b % blocks] + (b >> 7)) & 0x7FFFFFFF
-                stored, probes = [], []
-                for k in sorted({max(1, (m - 1) // 2) for m in (n - 1, n, n + 1)}):
-                    if k <= n:
-                        probes += [_number(f"{near}<{word[:k]}"), _number(f"{near}>{word[n - k :]}")]
-                        if k == max(1, (n - 1) // 2):
-                            stored = probes[-2:]
-                rows.append((entry, stored, probes, parts))
-            yield pd.DataFrame(rows, columns=["entry", "stored", "probes", "blocks"])
-
-    return run
+    return out.mapInPandas(_normal(blocks), "row_id bigint, arrived bigint, same binary, entry bigint, word string, reply string, probes array<bigint>, own int, blocks bigint")
 
 
 def _verify(max_words: int):
@@ -153,13 +161,13 @@ def _verify(max_words: int):
                 one_slip(a, b) and word_distance(ra.split(" "), rb.split(" "), max_words) <= max_words
                 for a, b, ra, rb in zip(pdf["word"], pdf["word_s"], pdf["reply"], pdf["reply_s"], strict=True)
             ]
-            yield pdf.loc[ok, ["entry", "arrived_s", "first_s"]]
+            yield pdf.loc[ok, ["entry", "a0", "r0"]]
 
     return run
 
 
 class HistoryIndex:
-    """The index of everything accepted so far, in a folder of its own; ``check`` a batch, then ``append`` it."""
+    """The index of everything accepted so far, in a folder of its own: ``prepare`` a batch, ``check`` it, ``append`` it."""
 
     def __init__(self, spark: SparkSession, rules: HistoryRules = HistoryRules(), folder: str | None = None):
         self.spark, self.rules = spark, rules
@@ -167,64 +175,75 @@ class HistoryIndex:
         self.folder = folder or f"{shared_dir(spark).rstrip('/')}/weftline/{self.name}"
         self.filled = False
 
-    def _table(self, part: str) -> DataFrame | None:
+    def _history(self, part: str) -> DataFrame | None:
         return self.spark.table(f"{self.name}_{part}") if self.filled else None
 
-    def _with_history(self, part: str, batch: DataFrame) -> DataFrame:
-        old = self._table(part)
-        return batch if old is None else old.select(batch.columns).unionByName(batch)
+    def prepare(self, rows: DataFrame, specs: DataFrame) -> DataFrame:
+        """The batch's rows in comparable form, written once."""
+        return materialise(normal_rows(rows, specs, 2 * self.rules.max_words + 1), "rows")
 
-    def prepare(self, rows: DataFrame, specs: DataFrame) -> dict[str, DataFrame]:
-        """The batch's part of the three tables, written once."""
-        base = materialise(normal_rows(rows, specs), "rows")
+    @staticmethod
+    def _entries(batch: DataFrame) -> DataFrame:
         order = F.struct("arrived", "row_id")
-        keys = base.groupBy("same").agg(F.min(order).alias("f")).select("same", "f.*")
-        entries = base.where("reply != ''").groupBy("near", "word", "reply").agg(F.min("row_id").alias("entry"), F.min(order).alias("f"), F.max(order).alias("l"))
-        entries = materialise(entries.select("entry", "near", "word", "reply", F.col("f.arrived").alias("arrived"), F.col("f.row_id").alias("first"), F.col("l.arrived").alias("last"), (F.col("f.row_id") != F.col("l.row_id")).alias("several")), "entries")
-        segments = entries.mapInPandas(_segments(2 * self.rules.max_words + 1), "entry bigint, stored array<bigint>, probes array<bigint>, blocks array<int>")
-        return {"base": base, "keys": keys, "entries": entries, "segments": materialise(segments, "segments")}
+        out = batch.where(F.col("entry").isNotNull()).groupBy("entry").agg(F.min(order).alias("f"), F.max(order).alias("l"), F.first("probes").alias("probes"), F.first("own").alias("own"), F.first("blocks").alias("blocks"))
+        return out.select("entry", F.col("f.arrived").alias("a0"), F.col("f.row_id").alias("r0"), F.col("l.arrived").alias("last"), (F.col("f.row_id") != F.col("l.row_id")).alias("several"), "probes", "own", "blocks")
+
+    @staticmethod
+    def _stored(entries: DataFrame) -> DataFrame:
+        return entries.select(F.explode(F.slice("probes", F.col("own") + 1, F.lit(2))).alias("key"), F.col("r0").alias("r0_s"), F.col("a0").alias("a0_s"), F.col("blocks").alias("blocks_s"))
 
-    def check(self, batch: dict[str, DataFrame]) -> DataFrame:
+    def check(self, batch: DataFrame) -> DataFrame:
         """row_id of every row of the prepared batch that repeats an earlier row, of history or of the batch itself."""
-        base, rules = batch["base"], self.rules
-        own = batch["keys"]
-        if (old := self._table("keys")) is not None:
-            old = old.select("same", F.struct("arrived", "row_id").alias("o")).groupBy("same").agg(F.min("o").alias("o"))
-            own = own.join(old, "same", "left").select("same", F.least(F.struct("arrived", "row_id"), F.coalesce("o", F.struct("arrived", "row_id"))).alias("f")).select("same", "f.*")
-        first = own.select("same", F.col("arrived").alias("a0"), F.col("row_id").alias("r0"))
+        rules, entries = self.rules, self._entries(batch)
         later = (F.col("arrived") > F.col("a0")) | ((F.col("arrived") == F.col("a0")) & (F.col("row_id") > F.col("r0")))
-        repeated = base.join(first, "same").where(later).select("row_id")
-
-        stored = batch["segments"].select(F.explode("stored").alias("key"), F.col("entry").alias("entry_s"), F.col("blocks").alias("blocks_s"))
-        stored = self._with_history("segments", stored)
-        probes = batch["segments"].select(F.explode("probes").alias("key"), "entry", "blocks")
-        hot = stored.groupBy("key").count().where(F.col("count") > rules.hot).select("key")
+        first = batch.groupBy("same").agg(F.min(F.struct("arrived", "row_id")).alias("f"))
+        if (old := self._history("keys")) is not None:
+            old = old.groupBy("same").agg(F.min("f").alias("o"))
+            first = first.join(old, "same", "left").select("same", F.least("f", F.coalesce("o", "f")).alias("f"))
+        first = first.select("same", F.col("f.arrived").alias("a0"), F.col("f.row_id").alias("r0"))
+        repeated = batch.select("same", "arrived", "row_id").join(first, "same").where(later).select("row_id")
+
+        stored = self._stored(entries)
+        if (old := self._history("segments")) is not None:
+            stored = old.unionByName(stored)
+        probes = entries.select(F.explode("probes").alias("key"), F.col("r0").alias("r0_p"), F.col("last"), "blocks")
         parts = 2 * rules.max_words + 1
+        width = 60 // parts
+        block = lambda c, z: F.shiftright(F.col(c), z * width).bitwiseAND(F.lit((1 << width) - 1))
+        hot = stored.groupBy("key").count().where(F.col("count") > rules.hot).select("key")
         cold = probes.join(hot, "key", "left_anti").join(stored, "key")
-        by_block = lambda df, c: df.join(hot, "key", "left_semi").select("*", F.posexplode(c).alias("z", "block")).drop(c)
-        warm = by_block(probes, "blocks").join(by_block(stored, "blocks_s"), ["key", "z", "block"])
-        agree = F.exists(F.sequence(F.lit(0), F.lit(parts - 1)), lambda z: F.col("blocks")[z] == F.col("blocks_s")[z])
-        pairs = cold.where(agree).select("entry", "entry_s").unionByName(warm.select("entry", "entry_s")).where("entry != entry_s").distinct()
-        mine = batch["entries"].select("entry", "word", "reply", "last")
-        theirs = self._with_history("entries", batch["entries"].select("entry", "word", "reply", "arrived", "first")).toDF("entry_s", "word_s", "reply_s", "arrived_s", "first_s")
-        near = pairs.join(mine, "entry").join(theirs, "entry_s").where("arrived_s <= last")
-        near = near.mapInPandas(_verify(rules.max_words), "entry bigint, arrived_s bigint, first_s bigint")
-        near = near.unionByName(batch["entries"].where("several").select("entry", F.col("arrived").alias("arrived_s"), F.col("first").alias("first_s")))
-        near = near.groupBy("entry").agg(F.min(F.struct(F.col("arrived_s").alias("a0"), F.col("first_s").alias("r0"))).alias("m")).select("entry", "m.*")
-        members = batch["entries"].join(near, "entry").select("near", "word", "reply", "a0", "r0")
-        slipped = base.join(members, ["near", "word", "reply"]).where(later).select("row_id")
+        spread = lambda df, c: df.join(hot, "key", "left_semi").withColumn("part", F.explode(F.array(*(F.struct(F.lit(z).alias("z"), block(c, z).alias("b")) for z in range(parts))))).select("*", "part.*").drop("part")
+        warm = spread(probes, "blocks").join(spread(stored, "blocks_s"), ["key", "z", "b"])
+        agree = F.lit(False)
+        for z in range(parts):
+            agree = agree | (block("blocks", z) == block("blocks_s", z))
+        pair = ["r0_p", "r0_s", "a0_s"]
+        possible = (F.col("r0_p") != F.col("r0_s")) & (F.col("a0_s") <= F.col("last"))
+        pairs = materialise(cold.where(agree & possible).select(pair).unionByName(warm.where(possible).select(pair)).distinct(), "pairs")
+        texts = self._texts(batch, pairs.select(F.col("r0_p").alias("row_id")).union(pairs.select("r0_s")).distinct())
+        mine, theirs = texts.toDF("r0_p", "word", "reply", "entry"), texts.drop("entry").toDF("r0_s", "word_s", "reply_s")
+        near = pairs.join(mine, "r0_p").join(theirs, "r0_s").select("entry", "word", "reply", "word_s", "reply_s", F.col("a0_s").alias("a0"), F.col("r0_s").alias("r0"))
+        near = near.mapInPandas(_verify(rules.max_words), "entry bigint, a0 bigint, r0 bigint").unionByName(entries.where("several").select("entry", "a0", "r0"))
+        near = near.groupBy("entry").agg(F.min(F.struct("a0", "r0")).alias("m")).select("entry", "m.*")
+        slipped = batch.select("entry", "arrived", "row_id").join(near, "entry").where(later).select("row_id")
         return repeated.unionByName(slipped).distinct()
 
-    def append(self, batch: dict[str, DataFrame]) -> None:
+    def _texts(self, batch: DataFrame, ids: DataFrame) -> DataFrame:
+        """Word and reply of the candidates only; the texts move once."""
+        columns = ["row_id", "word", "reply", "entry"]
+        rows = batch.select(columns)
+        if (old := self._history("rows")) is not None:
+            rows = old.select(columns).unionByName(rows)
+        return materialise(rows.join(ids, "row_id", "left_semi"), "texts")
+
+    def append(self, batch: DataFrame) -> None:
         """Add the prepared batch to the index; what is there stays as it is."""
-        tables = {
-            "keys": ("same", batch["keys"]),
-            "segments": ("key", batch["segments"].select(F.explode("stored").alias("key"), F.col("entry").alias("entry_s"), F.col("blocks").alias("blocks_s"))),
-            "entries": ("entry", batch["entries"].select("entry", "word", "reply", "arrived", "first")),
-        }
-        for part, (key, df) in tables.items():
+        keys = batch.groupBy("same").agg(F.min(F.struct("arrived", "row_id")).alias("f"))
+        for part, key, df in (("keys", "same", keys), ("segments", "key", self._stored(self._entries(batch)))):
             out = df.repartition(self.rules.buckets, key).write.mode("append").format("parquet").option("compression", "zstd").option("path", f"{self.folder}/{part}")
             out.bucketBy(self.rules.buckets, key).sortBy(key).saveAsTable(f"{self.name}_{part}")
+        rows = batch.select("row_id", "word", "reply", "entry").where(F.col("entry").isNotNull())
+        rows.write.mode("append").format("parquet").option("compression", "zstd").option("path", f"{self.folder}/rows").saveAsTable(f"{self.name}_rows")
         self.filled = True
 
 
@@ -232,18 +251,18 @@ def repeated_rows(rows: DataFrame, specs: DataFrame, slices: int = 2, rules: His
     """Feed all rows through the index in arrival order, in ``slices`` batches; row_id of every repeated row."""
     index = HistoryIndex(rows.sparkSession, rules)
     at = [k / slices for k in range(1, slices)]
-    cuts = rows.agg(F.percentile_approx(F.unix_micros("ingested_at"), at, 1000)).first()[0] if at else []
     micros = F.unix_micros("ingested_at")
+    cuts = rows.agg(F.percentile_approx(micros, at, 1000)).first()[0] if at else []
     found = None
     bounds = [None, *sorted(set(cuts or [])), None]
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
         part = rows if lo is None else rows.where(micros > lo)
         batch = index.prepare(part if hi is None else part.where(micros <= hi), specs)
         cases = index.check(batch)
-        found = cases if found is None else found.unionByName(cases)
         if hi is not None:
-            found = materialise(found, "repeated")
+            cases = materialise(cases, "repeated")
             index.append(batch)
+        found = cases if found is None else found.unionByName(cases)
     return found
 
 
