@@ -84,7 +84,7 @@ class PairRules:
     """``sample``: rows the field is fitted on; ``copy``, ``most``: shares of the words that make an echo, a refusal or a foreign response."""
 
     sample: int = 4000
-    rounds: int = 60
+    rounds: int = 150
     copy: float = 0.8
     most: float = 0.5
     seed: int = 7
@@ -261,16 +261,19 @@ class ClauseField:
                 pairs += joint[on[:, j + 1]].sum(0)
             marginal = np.exp(ahead + back - z[:, None, None])[row, col]
             wrong = marginal - hot
-            grad = np.stack([np.bincount(ids, wrong[owner, c], len(field.weights)) for c in range(k)], axis=1) + 0.5 * field.weights
+            grad = np.stack([np.bincount(ids, wrong[owner, c], len(field.weights)) for c in range(k)], axis=1) + 0.1 * field.weights
             inside = col[1:] > 0
             taken = np.zeros((k, k))
             np.add.at(taken, (gold[:-1][inside], gold[1:][inside]), 1)
-            for x, g, a, b in ((field.weights, grad, *moments[:2]), (field.moves, pairs - taken + 0.5 * field.moves, *moments[2:])):
+            for x, g, a, b in ((field.weights, grad, *moments[:2]), (field.moves, pairs - taken + 0.1 * field.moves, *moments[2:])):
                 a *= 0.9
                 a += 0.1 * g
                 b *= 0.98
                 b += 0.02 * g * g
                 x -= 0.1 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.98**step)) + 1e-8)
+        for x, i in vocabulary.items():  # a clause with its final stop can't be unfinished
+            if x.startswith("end:True:"):
+                field.weights[i, UNFINISHED] = -1e3
         return field
 
 
@@ -292,6 +295,8 @@ def _sure_tags(text: str, instruction: list[str], want: str | None) -> list[int]
             out.append(UNFINISHED)
         else:
             out.append(ANSWER)
+    if out[0] == REFUSAL:  # what follows goes on with it: reasons, a wish, somebody to ask
+        out = [REFUSAL] * len(out)
     return out
 
 
@@ -350,8 +355,8 @@ def make_examples(rows: list[dict], seed: int) -> tuple[list[list[list[str]]], l
             t = t.upper() if rng.random() < 0.1 else t
             add(t, ask, want, [REFUSAL] * len(clauses(t)))
             if rng.random() < 0.3:
-                t = rng.choice(["Is there anything else you need?", "Kindly ask somebody else.", "Please consult an expert."])
-                r2 = rng.choice(REFUSALS["en"]).replace("{w}", r["word"] or "this") + " " + t
+                t = rng.choice(["Is there anything else you need?", "Kindly ask somebody else.", "Please consult an expert.", "I would rather not write about it today."])
+                r2 = rng.choice(["", "", "Hmm. ", "Well. "]) + rng.choice(REFUSALS["en"]).replace("{w}", r["word"] or "this") + " " + t
                 add(r2, ask, want, [REFUSAL] * len(clauses(r2)))
         scores = language_scores(words(text))
         spoken = max(scores, key=scores.__getitem__)
