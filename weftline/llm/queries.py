@@ -6,6 +6,7 @@ from weftline.llm.cross_split import p1_found, p1_report
 from weftline.llm.history import p3_found
 from weftline.llm.leaks import p2_cleaned, p2_found
 from weftline.llm.pairs import p5_found
+from weftline.llm.scans import p4_found, p4_text
 from weftline.llm.spans import p8_found, p8_shared
 
 QUERIES = {
@@ -14,6 +15,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_cleaned": p2_cleaned,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_text": p4_text,
     "p5_found": p5_found,
     "p8_found": p8_found,
     "p8_shared": p8_shared,
