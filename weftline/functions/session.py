@@ -5,12 +5,33 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand the package to the Python workers, once an application, unless their path has it already.
+
+    The archive is served to the executors by Spark; nothing is expected to lie on their machines.
+    """
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    if sc.applicationId in _SHIPPED or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="weftline-"), "weftline_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((root / "weftline").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory."""
+    ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
