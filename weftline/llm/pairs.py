@@ -406,7 +406,10 @@ def broken_pairs(rows: DataFrame, specs: DataFrame, rules: PairRules = PairRules
     full = rows.join(F.broadcast(spec), "task", "left").select(
         "row_id", "instruction", "response", F.col("meta.word").alias("word"), F.coalesce("least", F.lit(0)).alias("least"), "want", F.coalesce("forbid", F.lit(False)).alias("forbid")
     )
-    sample = full.where(F.col("response").isNotNull()).orderBy(F.xxhash64("row_id"), "row_id").limit(rules.sample).collect()
+    answered = full.where(F.col("response").isNotNull())
+    key = F.pmod(F.xxhash64("row_id"), F.lit(1 << 40))
+    share = min(1.0, 4 * rules.sample / max(1, answered.count()))  # so that what the tasks send to the driver doesn't grow with them
+    sample = answered.where(key < int(share * (1 << 40))).orderBy(key, "row_id").limit(rules.sample).collect()
     xs, ys = make_examples([r.asDict() for r in sample], rules.seed)
     field = rows.sparkSession.sparkContext.broadcast(ClauseField.fit(xs, ys, rules.rounds) if xs else ClauseField({}, np.zeros((1, len(TAGS))), np.zeros((len(TAGS),) * 2)))
     return full.mapInPandas(_judge(field, rules), "row_id bigint, defect string")
