@@ -87,8 +87,8 @@ def diversity_of_groups(samples: DataFrame, by: str, order: str, n: int) -> Data
     before = F.concat(*(F.coalesce(F.lag("_tail", k).over(w), F.array().cast("array<string>")) for k in range(n - 1, 0, -1))) if n > 1 else F.array().cast("array<string>")
     lead = some.withColumn("_tail", tail).withColumn("_before", before)
     lead = lead.withColumn("_before", F.slice("_before", F.greatest(F.size("_before") - n + 2, F.lit(1)), max(1, n - 1)))
-    grams = lead.select(by, F.explode(ngrams(F.concat("_before", "tokens"), n)).alias("g"))
-    each = grams.groupBy(by, "g").agg(F.count("*").alias("k")).groupBy(by).agg(F.count("*").alias("distinct"), F.sum("k").alias("total"))
+    grams = lead.select(by, F.explode(ngrams(F.concat("_before", "tokens"), n)).alias("_gram"))
+    each = grams.groupBy(by, "_gram").agg(F.count("*").alias("k")).groupBy(by).agg(F.count("*").alias("distinct"), F.sum("k").alias("total"))
     return samples.select(by).distinct().join(each, by, "left").select(by, F.coalesce(F.col("distinct") / F.col("total"), F.lit(0.0)).alias(f"distinct_{n}"))
 
 

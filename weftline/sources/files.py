@@ -16,7 +16,7 @@ GENERATED = "seed_id STRING, instruction STRING, response STRING, meta STRUCT<wo
 def texts(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """path, name (without ending), text of whole files; bytes that are no UTF-8 become the replacement character."""
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
+    files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), name.alias("name"), F.col("value").alias("text"))
 
 
@@ -42,7 +42,7 @@ def metrics(spark: SparkSession, path: str) -> DataFrame:
 
     A file is one run's log and is read whole, so a line keeps its place; unknown fields are left out, missing ones are null.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
     row = F.from_json("line", METRICS, {"allowNonNumericNumbers": "true"})
     run = F.element_at(F.split("path", "/"), -2)
     full = lines.select(run.alias("run"), "line_no", row.alias("r")).select("run", "line_no", "r.*")
