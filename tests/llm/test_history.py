@@ -18,7 +18,7 @@ def specs(spark):
 
 def found(spark, rows, slices=1, **rules):
     df = spark.createDataFrame(rows, ROW)
-    return {r["row_id"] for r in H.repeated_rows(df, specs(spark), slices, H.HistoryRules(**rules)).collect()}
+    return {r["row_id"] for r in H.repeated_rows(df, specs(spark), slices, H.HistoryRules(buckets=2, **rules)).collect()}
 
 
 ROWS = [
@@ -50,7 +50,7 @@ def test_hot_segments_lose_nothing(spark):
 
 
 def test_index_by_hand(spark):
-    index = H.HistoryIndex(spark)
+    index = H.HistoryIndex(spark, H.HistoryRules(buckets=2))
     sp = specs(spark)
     first = index.prepare(spark.createDataFrame(ROWS[:1], ROW), sp)
     assert index.check(first).count() == 0
@@ -61,7 +61,7 @@ def test_index_by_hand(spark):
 
 def test_empty(spark):
     assert found(spark, [row(1, None)]) == set()
-    assert H.repeated_rows(spark.createDataFrame([], ROW), specs(spark)).count() == 0
+    assert H.repeated_rows(spark.createDataFrame([], ROW), specs(spark), 1).count() == 0
 
 
 def test_null_responses(spark):
