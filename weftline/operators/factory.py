@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.session import materialise
 from weftline.functions.text import order_key, strip, words
 
 # Phrases of a refusal, in lower case.
@@ -70,30 +71,29 @@ def signature(paths: list[Column]) -> Column:
     return F.concat_ws("||", *(F.lower(strip(F.coalesce(p.cast("string"), F.lit("none")))) for p in paths))
 
 
-def guessed_language(text: Column) -> Column:
-    """The language most of whose function words occur, null where none does; ties go to the first listed."""
-    ws = F.transform(words(F.lower(text)), lambda w: F.regexp_replace(w, r"[^\p{L}]", ""))
-    count = lambda listed: F.size(F.filter(ws, lambda w: w.isin(*listed)))
-    counts = [count(v) for v in FUNCTION_WORDS.values()]
-    best = F.greatest(*counts)
-    out = F.when(best <= 0, None)
-    for name, n in zip(FUNCTION_WORDS, counts, strict=True):
-        out = out.when(n == best, name)
-    return out
+def with_language(rows: DataFrame, text: str, alias: str = "lang") -> DataFrame:
+    """Adds the language most of whose function words occur, null where none does; ties go to the first listed.
+
+    Words and counts are columns of their own, so each is computed once however often the language is used.
+    """
+    every = sorted({w for v in FUNCTION_WORDS.values() for w in v})
+    ws = F.filter(F.transform(words(F.lower(text)), lambda w: F.regexp_replace(w, r"[^\p{L}]", "")), lambda w: w.isin(*every))
+    count = lambda listed: F.size(F.filter("_ws", lambda w: w.isin(*listed)))
+    counted = rows.withColumn("_ws", ws).withColumn("_n", F.array(*(count(v) for v in FUNCTION_WORDS.values())))
+    names = F.array(*(F.lit(k) for k in FUNCTION_WORDS))
+    best = F.array_max("_n")
+    return counted.withColumn(alias, F.when(best > 0, F.element_at(names, F.array_position("_n", best).cast("int")))).drop("_ws", "_n")
 
 
-def reason(quality: dict[str, Column], term: Column) -> tuple[Column, Column]:
-    """Why a row is invalid, and the stable code of the reason; both null for a valid row. The first reason that holds counts.
+def reason(quality: dict[str, Column], term: Column) -> tuple[Column, Column, Column]:
+    """Number of the first rule a row breaks (as ``_rule``), then from it the stable code and the reason; all null for a valid row.
 
-    The row has instruction, response and meta (word, style); ``quality`` has a column for each setting.
+    The row has instruction, response and meta (word, style), ``_ask`` and ``_reply`` (trimmed), ``_low`` (response in lower case)
+    and ``_lang``; ``quality`` has a column for each setting.
     """
-    ask, reply = strip(F.col("instruction")), strip(F.col("response"))
-    low = F.lower("response")
-    refusal = F.lit(False)
-    for m in REFUSAL_MARKERS:
-        refusal = refusal | low.contains(m)
+    ask, reply, low, lang = (F.col(c) for c in ("_ask", "_reply", "_low", "_lang"))
+    refusal = low.rlike("|".join(REFUSAL_MARKERS))  # no character of the phrases is special in a pattern
     wanted = F.lower(strip(term))
-    lang = guessed_language(F.col("response"))
     lit = F.lit
     rules = [
         (F.col("instruction").isNull(), "missing_field", lit("missing field 'instruction'")),
@@ -107,10 +107,10 @@ def reason(quality: dict[str, Column], term: Column) -> tuple[Column, Column]:
         (quality["require_seed_term_in_response"] & (wanted != "") & ~low.contains(wanted), "grounding", F.concat(lit("grounding term '"), term, lit("' absent from response"))),
         (quality["require_lang"].isNotNull() & lang.isNotNull() & (lang != quality["require_lang"]), "language", F.concat(lit("response not detected as '"), quality["require_lang"], lit("'"))),
     ]
-    code, text = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for holds, name, why in reversed(rules):
-        code, text = F.when(holds, name).otherwise(code), F.when(holds, why).otherwise(text)
-    return code, text
+    code = F.coalesce(*(F.when(holds, lit(k)) for k, (holds, _, _) in enumerate(rules)))
+    name = F.element_at(F.array(*(lit(n) for _, n, _ in rules)), F.col("_rule") + 1)
+    text = F.coalesce(*(F.when(F.col("_rule") == k, why) for k, (_, _, why) in enumerate(rules)))
+    return code, name, text
 
 
 def validated(rows: DataFrame, specs: DataFrame) -> DataFrame:
@@ -118,19 +118,23 @@ def validated(rows: DataFrame, specs: DataFrame) -> DataFrame:
     spec = specs.select(F.col("name").alias("task"), "dedup_key", F.col("quality").alias("_q"))
     full = rows.join(F.broadcast(spec), "task")
     quality = {k: F.coalesce(F.col(f"_q.{k}"), F.lit(v)) if v is not None else F.col(f"_q.{k}") for k, v in Quality().__dict__.items()}
-    code, why = reason(quality, F.col("meta.word"))
+    full = with_language(full, "response", "_lang").withColumns({"_ask": strip(F.col("instruction")), "_reply": strip(F.col("response")), "_low": F.lower("response")})
+    rule, code, why = reason(quality, F.col("meta.word"))
     known = {"meta.word": F.col("meta.word"), "meta.style": F.col("meta.style"), "word": F.col("meta.word"), "style": F.col("meta.style"), "instruction": F.col("instruction"), "response": F.col("response")}
     values = F.create_map(*(x for k, v in known.items() for x in (F.lit(k), F.coalesce(v, F.lit("none")))))
     paths = F.split("dedup_key", r"\s*\+\s*")
     sig = F.array_join(F.transform(paths, lambda p: F.lower(strip(F.try_element_at(values, strip(p))))), "||")
-    return full.withColumn("signature", sig).withColumn("reason_code", code).withColumn("reason", why).drop("_q", "dedup_key")
+    out = full.withColumn("signature", sig).withColumn("_rule", rule).withColumn("reason_code", F.when(F.col("_rule").isNotNull(), code)).withColumn("reason", why)
+    return out.drop("_q", "dedup_key", "_rule", "_ask", "_reply", "_low", "_lang")
 
 
 def dedup_valid(checked: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """Mark valid rows whose task and signature a row before them has (by ingested_at, row_id), or the history (task, signature).
 
     The earliest row of each signature comes from a partial aggregate, so a signature that very many rows share is no single task.
+    The checked rows are written once, as both the aggregate and the join need them.
     """
+    checked = materialise(checked, "checked")
     order = F.struct("ingested_at", "row_id")
     first = checked.where("reason_code IS NULL").groupBy("task", "signature").agg(F.min(order).alias("_first"))
     if history is not None:
