@@ -225,6 +225,8 @@ class ClauseField:
     @classmethod
     def fit(cls, rows: list[list[list[str]]], tags: list[list[int]], rounds: int) -> ClauseField:
         """Adam on the penalised log-likelihood, all rows at once (the sample is bounded)."""
+        order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))  # long rows first, so each place in the chain concerns the first so many
+        rows, tags = [rows[i] for i in order], [tags[i] for i in order]
         seen = Counter(x for r in rows for f in r for x in set(f))
         vocabulary = {x: i for i, x in enumerate((x for x, n in sorted(seen.items()) if n >= 3), 1)}
         k = len(TAGS)
@@ -239,26 +241,24 @@ class ClauseField:
             score = np.add.reduceat(field.weights[ids], starts, axis=0)
             full, row, col = field._padded(score, sizes)
             n, t, _ = full.shape
-            on = np.arange(t)[None] < sizes[:, None]
+            reach = [int((sizes > j).sum()) for j in range(t)]
             ahead = np.zeros_like(full)
             ahead[:, 0] = full[:, 0]
             for j in range(1, t):
-                x = ahead[:, j - 1, :, None] + field.moves[None]
+                x = ahead[: reach[j], j - 1, :, None] + field.moves[None]
                 m = x.max(1)
-                now = m + np.log(np.exp(x - m[:, None]).sum(1)) + full[:, j]
-                ahead[:, j] = np.where(on[:, j, None], now, ahead[:, j - 1])
-            total = ahead[:, -1]
+                ahead[: reach[j], j] = m + np.log(np.exp(x - m[:, None]).sum(1)) + full[: reach[j], j]
+            total = ahead[np.arange(n), sizes - 1]
             m = total.max(1)
             z = m + np.log(np.exp(total - m[:, None]).sum(1))
             back = np.zeros_like(full)
             pairs = np.zeros((k, k))
             for j in range(t - 2, -1, -1):
-                x = field.moves[None] + (full[:, j + 1] + back[:, j + 1])[:, None]
+                r = reach[j + 1]
+                x = field.moves[None] + (full[:r, j + 1] + back[:r, j + 1])[:, None]
                 m = x.max(2)
-                now = m + np.log(np.exp(x - m[:, :, None]).sum(2))
-                back[:, j] = np.where(on[:, j + 1, None], now, 0.0)
-                joint = np.exp(ahead[:, j, :, None] + x - z[:, None, None])
-                pairs += joint[on[:, j + 1]].sum(0)
+                back[:r, j] = m + np.log(np.exp(x - m[:, :, None]).sum(2))
+                pairs += np.exp(ahead[:r, j, :, None] + x - z[:r, None, None]).sum(0)
             marginal = np.exp(ahead + back - z[:, None, None])[row, col]
             wrong = marginal - hot
             grad = np.stack([np.bincount(ids, wrong[owner, c], len(field.weights)) for c in range(k)], axis=1) + 0.1 * field.weights
