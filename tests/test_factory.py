@@ -103,3 +103,17 @@ def test_preference_pairs(spark):
 def test_percentile_is_an_element(spark):
     r = H.element_percentile(spark.range(1, 101).withColumnRenamed("id", "x"), "x", [0.5, 0.99]).first()
     assert (r["p50"], r["p99"], r["largest"]) == (51, 100, 100)
+
+
+def test_whole_queries_lose_no_tokens(spark, tmp_path):
+    """One seed with five long rows and one pair of long sides: nothing behind the first 24, 48 or 64 words is lost."""
+    from weftline.plans import factory as P
+
+    at, long = dt.datetime(2025, 1, 1), " ".join(f"w{i}" for i in range(100))
+    rows = [(i, "sft_dictionary_qa", "s", "Ask me", long, ("w", "x"), at) for i in range(4)] + [(9, "dpo_dictionary_pairs", "s", "Ask me", long + " more", ("w", "x"), at)]
+    spark.createDataFrame(rows, "row_id bigint, task string, seed_id string, instruction string, response string, meta struct<word: string, style: string>, ingested_at timestamp").write.parquet(f"{tmp_path}/generated_rows.parquet")
+    r = P.QUERIES["sft_examples_whole"](spark, str(tmp_path)).first()
+    assert (r["length"], r["supervised"]) == (5 * (2 + 100 + 3) + 1, 5 * 101 + 1)
+    assert P.QUERIES["sft_batches_whole"](spark, str(tmp_path)).first()["width"] == 5 * 105
+    r = P.QUERIES["preference_examples_whole"](spark, str(tmp_path)).first()
+    assert (r["shared_prefix"], r["chosen_length"], r["rejected_length"]) == (4, 105, 106)

@@ -60,8 +60,12 @@ def collated(examples: DataFrame, batch: list[str], pad: str = END) -> DataFrame
     examples: the batch columns, tokens, mask. The batch's length is an aggregate of numbers; the tokens stay where they are in the shuffle.
     """
     longest = examples.groupBy(*batch).agg((F.max(F.size("tokens")) - 1).alias("width"))
+    return padded(examples.join(longest, batch), pad)
+
+
+def padded(full: DataFrame, pad: str = END) -> DataFrame:
+    """Inputs and targets of examples that have their batch's width."""
     n = F.size("tokens")
-    full = examples.join(longest, batch)
     x = F.concat(F.slice("tokens", 1, n - 1), F.array_repeat(F.lit(pad), F.col("width") - n + 1))
     target = F.zip_with(F.slice("tokens", 2, n - 1), F.slice("mask", 2, n - 1), lambda t, m: F.when(m == 1, t))
     y = F.concat(target, F.array_repeat(F.lit(None).cast("string"), F.col("width") - n + 1))
@@ -113,3 +117,10 @@ def shuffled_batches(rows: DataFrame, key: str, seed: int, epoch: int, size: int
     """Reproducible order of an epoch in batches of ``size``."""
     keyed = rows.withColumn("_key", order_key(seed + epoch, F.col(key))).withColumn("_all", F.lit(0))
     return batches(keyed, ["_key", key], ["_all"], size).drop("_key", "_all")
+
+
+def collated_shuffle(examples: DataFrame, key: str, seed: int, epoch: int, size: int) -> DataFrame:
+    """Examples by ``key`` in shuffled batches, collated. Only keys and lengths go through order and widths, tokens stay with their key."""
+    b = shuffled_batches(examples.select(key, F.size("tokens").alias("_n")), key, seed, epoch, size)
+    b = b.join(b.groupBy("batch_no").agg((F.max("_n") - 1).alias("width")), "batch_no").select(key, "batch_no", "width")
+    return padded(examples.join(b, key))

@@ -10,6 +10,9 @@ from weftline.operators import chat as H
 from weftline.operators import corpus as C
 from weftline.operators import factory as G
 
+# Longest conversation of a seed (eight pairs of the reference's 128) and longest side of a preference pair (the reference's).
+CONVERSATION, PAIR = 1024, 640
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -226,11 +229,21 @@ def chat_mask(spark, d):
 
 @query(_MASKED + "SELECT conv_id, CAST(len(tokens[:24]) AS BIGINT) AS length, CAST(list_sum(mask[:24]) AS BIGINT) AS supervised FROM e WHERE list_sum(mask[:24]) > 0")
 def sft_examples(spark, d):
-    """Examples cut to 24 tokens; those without anything to learn are dropped."""
-    e = H.truncated(H.masked(H.pairs_from_rows(_rows(spark, d))), 24)
+    """Examples cut to 24 tokens, so only the heads; ``sft_examples_whole`` has them whole. Those without anything to learn are dropped."""
+    return _examples(spark, d, 24)
+
+
+def _examples(spark, d, longest):
+    e = H.truncated(H.masked(H.pairs_from_rows(_rows(spark, d))), longest)
     return e.select("conv_id", F.size("tokens").cast("bigint").alias("length"), F.aggregate("mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("supervised"))
 
 
+@query(_MASKED + "SELECT conv_id, CAST(len(tokens[:1024]) AS BIGINT) AS length, CAST(list_sum(mask[:1024]) AS BIGINT) AS supervised FROM e WHERE list_sum(mask[:1024]) > 0")
+def sft_examples_whole(spark, d):
+    """Examples of whole conversations: the limit of 1024 tokens (128 a pair, for eight pairs) only guards against outliers."""
+    return _examples(spark, d, CONVERSATION)
+
+
 @query(
     _MASKED
     + """, c AS (SELECT conv_id, tokens[:64] AS t, mask[:64] AS m, (row_number() OVER (ORDER BY sha1('1337:' || conv_id), conv_id) - 1) // 8 AS batch_no FROM e WHERE list_sum(mask[:64]) > 0),
@@ -239,13 +252,29 @@ SELECT conv_id, batch_no, CAST(width AS BIGINT) AS width, md5(array_to_string(t[
   md5(array_to_string(list_transform(range(1, len(t)), lambda i: CASE WHEN m[i + 1] = 1 THEN t[i + 1] ELSE '-1' END) || list_transform(range(width - len(t) + 1), lambda z: '-1'), ' ')) AS y FROM b"""
 )
 def sft_batches(spark, d):
-    """Seeded batches of eight, padded to the longest of each, targets shifted by one."""
-    e = H.truncated(H.masked(H.pairs_from_rows(_rows(spark, d))), 64)
-    b = H.collated(H.shuffled_batches(e, "conv_id", 1337, 0, 8), ["batch_no"])
+    """Seeded batches of eight, padded to the longest of each, targets shifted by one; cut to 64 tokens, ``sft_batches_whole`` has them whole."""
+    return _batches(spark, d, 64)
+
+
+def _batches(spark, d, longest):
+    e = H.truncated(H.masked(H.pairs_from_rows(_rows(spark, d))), longest)
+    b = H.collated_shuffle(e, "conv_id", 1337, 0, 8)
     join = lambda c: F.md5(F.array_join(F.transform(c, lambda v: F.coalesce(v, F.lit("-1"))), " ")).alias(c)
     return b.select("conv_id", "batch_no", "width", join("x"), join("y"))
 
 
+@query(
+    _MASKED
+    + """, c AS (SELECT conv_id, tokens[:1024] AS t, mask[:1024] AS m, (row_number() OVER (ORDER BY sha1('1337:' || conv_id), conv_id) - 1) // 8 AS batch_no FROM e WHERE list_sum(mask[:1024]) > 0),
+b AS (SELECT *, max(len(t)) OVER (PARTITION BY batch_no) - 1 AS width FROM c)
+SELECT conv_id, batch_no, CAST(width AS BIGINT) AS width, md5(array_to_string(t[:len(t) - 1] || list_transform(range(width - len(t) + 1), lambda z: '<|endoftext|>'), ' ')) AS x,
+  md5(array_to_string(list_transform(range(1, len(t)), lambda i: CASE WHEN m[i + 1] = 1 THEN t[i + 1] ELSE '-1' END) || list_transform(range(width - len(t) + 1), lambda z: '-1'), ' ')) AS y FROM b"""
+)
+def sft_batches_whole(spark, d):
+    """Seeded batches of eight whole conversations."""
+    return _batches(spark, d, CONVERSATION)
+
+
 @query(_TURNS + "SELECT a.conv_id, a.turn, md5(string_agg(b.role || coalesce(b.text, ''), '|' ORDER BY b.turn)) AS so_far FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn <= a.turn GROUP BY 1, 2")
 def chat_history(spark, d):
     h = H.history(H.pairs_from_rows(_rows(spark, d)))
@@ -297,14 +326,29 @@ x AS (SELECT row_id, len(head) AS h, least(48, len(head || a)) AS la, least(48,
 SELECT row_id, CAST(h AS BIGINT) AS shared_prefix, CAST(la AS BIGINT) AS chosen_length, CAST(lb AS BIGINT) AS rejected_length FROM x WHERE la > h AND lb > h"""
 )
 def preference_examples(spark, d):
-    """Both sides encoded, masked and cut to 48 tokens on their own; a pair with an empty side is dropped."""
+    """Both sides encoded, masked and cut to 48 tokens on their own, ``preference_examples_whole`` has them whole; a pair with an empty side is dropped."""
+    return _preferences(spark, d, 48)
+
+
+def _preferences(spark, d, longest):
     kept = _pairs(spark, d)[0]
 
     def side(c, name):
         turns = F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role"), F.col("instruction").alias("text")), F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role"), F.col(c).alias("text")))
         m = kept.select(F.col("row_id").alias("conv_id"), F.explode(turns).alias("m")).select("conv_id", "m.*")
-        e = H.truncated(H.masked(m), 48)
+        e = H.truncated(H.masked(m), longest)
         return e.select(F.col("conv_id").alias("row_id"), F.size("tokens").cast("bigint").alias(name), (F.array_position("mask", 1) - 1).alias("shared_prefix"))
 
     a, b = side("chosen", "chosen_length"), side("rejected", "rejected_length").drop("shared_prefix")
     return a.join(b, "row_id").select("row_id", "shared_prefix", "chosen_length", "rejected_length")
+
+
+@query(
+    _PAIRS
+    + r""", w AS (SELECT row_id, ['<|user|>'] || regexp_extract_all(instruction, '[^\s\p{Z}]+') || ['<|assistant|>'] AS head, regexp_extract_all(chosen, '[^\s\p{Z}]+') || ['<|endoftext|>'] AS a, regexp_extract_all(rejected, '[^\s\p{Z}]+') || ['<|endoftext|>'] AS b FROM s WHERE state = 'kept'),
+x AS (SELECT row_id, len(head) AS h, least(640, len(head || a)) AS la, least(640, len(head || b)) AS lb FROM w)
+SELECT row_id, CAST(h AS BIGINT) AS shared_prefix, CAST(la AS BIGINT) AS chosen_length, CAST(lb AS BIGINT) AS rejected_length FROM x WHERE la > h AND lb > h"""
+)
+def preference_examples_whole(spark, d):
+    """Both sides whole: 640 tokens is the reference's limit for pairs, above its longest rejected reply."""
+    return _preferences(spark, d, PAIR)
