@@ -109,6 +109,35 @@ def test_bpe_like_the_plain_trainer(spark, texts):
     assert [r["t"] for r in ids.select("doc_id", K.decode(F.col("ids"), got).alias("t")).orderBy("doc_id").collect()] == texts
 
 
+TEXTS = ["low lower lowest newer wider new é", "aaaa aaa aabaab abab", "banana bandana ananas cabana", "the then there these other mother"]
+
+
+@pytest.mark.parametrize("in_one_task", [0, 1 << 20])
+def test_bpe_to_the_end_like_the_plain_trainer(spark, in_one_task):
+    """Several merges a job, or one task that keeps its counts: both give the plain trainer's merges until no pair is left."""
+    table = K.chunks(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string"), "whitespace")
+    got = K.train(table, 1000, in_one_task=in_one_task)
+    want, _ = plain_bpe([c for t in TEXTS for c in t.split(" ")], 1000)
+    assert got == want and len(got) > 24
+
+
+def test_compression_at_each_point(spark):
+    chunks = [c for t in TEXTS for c in t.split(" ")]
+    table = K.chunks(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string"), "whitespace")
+    got = {r["merges"]: (r["tokens"], r["bytes"]) for r in K.compression(table, K.train(table, 40), [0, 8, 24, 40]).collect()}
+    assert got == {k: (sum(map(len, plain_bpe(chunks, k)[1])), sum(len(c.encode()) for c in chunks)) for k in (0, 8, 24, 40)}
+
+
+def test_vocabulary_of_the_reference_size(spark, tmp_path):
+    from weftline.plans import analysis as P
+
+    words = " ".join("".join("abcdefghij"[int(x)] for x in str(7919 * i)) for i in range(1, 400))
+    spark.createDataFrame([(1, "s", words)], "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert P.QUERIES["bpe_merges"](spark, str(tmp_path)).count() > 280
+    curve = {r["merges"]: r["bytes_per_token"] for r in P.QUERIES["bpe_compression"](spark, str(tmp_path)).collect()}
+    assert sorted(curve) == [0, 244, 744, 1744, 2744, 3744, 5744, 7744] and curve[0] == 1.0 < curve[244] < curve[744]
+
+
 def test_merge_does_not_overlap_or_match_inside_ids(spark):
     df = spark.createDataFrame([("1;1;1;",), ("11;1;21;1;",), ("4;14;5;4;5;",)], "ids string")
     assert [r[0] for r in df.select(K.merged(F.col("ids"), 1, 1, 9)).collect()] == ["9;1;", "11;1;21;1;", "4;14;5;4;5;"]

@@ -6,7 +6,10 @@ then exactly a merge from left to right without overlap, and it stays in the JVM
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -56,25 +59,127 @@ def pair_counts(table: DataFrame) -> DataFrame:
     return each.groupBy("p.a", "p.b").agg(F.sum("freq").alias("n"), F.min(F.struct("first", "p.i")).alias("first"))
 
 
-def train(table: DataFrame, merges: int, first_id: int = 256, min_frequency: int = 1, cut_every: int = 20) -> list[tuple[int, int, int, int, int]]:
+def train(table: DataFrame, merges: int, first_id: int = 256, min_frequency: int = 1, cut_every: int = 20, in_one_task: int = 16 << 20) -> list[tuple[int, int, int, int, int]]:
     """Merges in order as (rank, left, right, new id, number); ties go to the pair that occurs first. Stops early without pairs.
 
-    One small job a merge; every ``cut_every`` merges the table is written to the checkpoint folder, so the plan doesn't grow.
+    Distinct chunks of up to ``in_one_task`` bytes together are trained by one task that keeps its pair counts.
+    Larger tables take one small job for several merges; about every ``cut_every`` merges the table is written to the checkpoint folder, so the plan doesn't grow.
     """
+    if (table.agg(F.sum(F.octet_length("chunk"))).first()[0] or 0) <= in_one_task:
+        rows = table.select("chunk", "freq", "first.doc_id", "first.pos").repartition(1).sortWithinPartitions("doc_id", "pos")
+        run = _trainer(merges, first_id, min_frequency)
+        return sorted(tuple(r) for r in rows.mapInPandas(run, "rank int, left int, right int, new_id int, n bigint").collect())
     out: list[tuple[int, int, int, int, int]] = []
-    work = cut(table.select("freq", "first", "ids"))
-    for rank in range(merges):
-        top = pair_counts(work).where(F.col("n") >= min_frequency).orderBy(F.desc("n"), "first").limit(1).collect()
+    work, since = cut(table.select("freq", "first", "ids")), 0
+    while len(out) < merges:
+        top = pair_counts(work).where(F.col("n") >= min_frequency).orderBy(F.desc("n"), "first").limit(min(64, merges - len(out))).collect()
         if not top:
             break
-        a, b, new = int(top[0]["a"]), int(top[0]["b"]), first_id + rank
-        out.append((rank, a, b, new, int(top[0]["n"])))
-        work = work.withColumn("ids", merged(F.col("ids"), a, b, new))
-        if (rank + 1) % cut_every == 0:
-            work = cut(work)
+        for a, b, n in _apart([(int(r["a"]), int(r["b"]), int(r["n"])) for r in top]):
+            new = first_id + len(out)
+            out.append((len(out), a, b, new, n))
+            work, since = work.withColumn("ids", merged(F.col("ids"), a, b, new)), since + 1
+        if since >= cut_every:
+            work, since = cut(work), 0
     return out
 
 
+def _apart(top: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The first pairs that one count settles: as many as no earlier merge among them touches.
+
+    A merge of (a, b) takes occurrences from pairs ending in a or beginning with b only. Every pair it makes stands for one of those, so
+    while these rank lower than the pair in question it can't come before that one. A pair of equal halves may make more, it ends the list.
+    """
+    out: list[tuple[int, int, int]] = []
+    for a, b, n in top:
+        if any(b == x or a == y for x, y, _ in out):
+            break
+        out.append((a, b, n))
+        if a == b:
+            break
+    return out
+
+
+def _trainer(merges: int, first_id: int, min_frequency: int):
+    """Trains on all chunks in the order of their first place. Counts change only where a merge happens; a heap gives the next pair.
+
+    A pair's count only falls and its first place only moves back, so an outdated entry of the heap is never too low; it is renewed when it comes up.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seqs: list[list[int]] = []
+        freq: list[int] = []
+        for pdf in batches:
+            seqs += [list(c.encode("utf-8")) for c in pdf["chunk"]]
+            freq += [int(f) for f in pdf["freq"]]
+        width = {i: 1 for i in range(256)}
+        count: dict[tuple[int, int], int] = {}
+        where: dict[tuple[int, int], array] = {}
+        start: dict[tuple[int, int], int] = {}  # chunks before this one don't hold the pair any more
+
+        def add(i: int, pairs) -> None:
+            for p in pairs:
+                count[p] = count.get(p, 0) + freq[i]
+                at = where.setdefault(p, array("I"))
+                if not at or at[-1] != i:
+                    at.append(i)
+
+        def entry(p: tuple[int, int]) -> tuple:
+            at, k = where[p], start.get(p, 0)
+            while True:
+                s, place = seqs[at[k]], 0
+                for x, y in zip(s, s[1:]):
+                    if (x, y) == p:
+                        start[p] = k
+                        return (-count[p], at[k], place, p)
+                    place += width[x]
+                k += 1
+
+        for i, s in enumerate(seqs):
+            add(i, zip(s, s[1:]))
+        heap = [entry(p) for p in count]
+        heapify(heap)
+        out = []
+        while heap and len(out) < merges:
+            n, _, _, p = heappop(heap)
+            if count.get(p, 0) != -n:
+                if count.get(p, 0) >= min_frequency:
+                    heappush(heap, entry(p))
+                continue
+            if -n < min_frequency:
+                break
+            (a, b), new = p, first_id + len(out)
+            width[new] = width[a] + width[b]
+            out.append((len(out), a, b, new, -n))
+            made = set()
+            for i in where[p][start.get(p, 0) :]:
+                s, t, j = seqs[i], [], 0
+                while j < len(s):
+                    hit = s[j] == a and j + 1 < len(s) and s[j + 1] == b
+                    t.append(new if hit else s[j])
+                    j += 2 if hit else 1
+                if len(t) == len(s):
+                    continue
+                for q in zip(s, s[1:]):
+                    count[q] -= freq[i]
+                seqs[i] = t
+                fresh = []
+                for q in zip(t, t[1:]):
+                    if new in q:
+                        fresh.append(q)
+                    else:
+                        count[q] += freq[i]
+                add(i, fresh)
+                made.update(fresh)
+            for q in (count, where, start):
+                q.pop(p, None)
+            for q in made:
+                heappush(heap, entry(q))
+        yield pd.DataFrame(out, columns=["rank", "left", "right", "new_id", "n"])
+
+    return run
+
+
 def merged(ids: Column, a: int, b: int, new: int) -> Column:
     """All occurrences of a pair merged from left to right. A leading semicolon keeps ``4;5;`` from matching inside ``14;5;``."""
     return F.substring(F.replace(F.replace(F.concat(F.lit(";"), F.replace(ids, F.lit(";"), F.lit(";;"))), F.lit(f";{a};;{b};"), F.lit(f";{new};")), F.lit(";;"), F.lit(";")), 2, 1 << 30)
@@ -141,12 +246,26 @@ def decode(ids: Column, merges: list[tuple[int, int, int, int, int]]) -> Column:
 
 
 def compression(table: DataFrame, merges: list[tuple[int, int, int, int, int]], points: list[int]) -> DataFrame:
-    """Tokens and bytes a token with only the first k merges, for each k."""
-    out = None
-    for k in points:
-        e = encode_chunks(table, merges[:k])
-        row = e.agg(F.lit(k).alias("merges"), F.sum(F.col("freq") * F.size("ids")).alias("tokens"), F.sum(F.col("freq") * F.octet_length("chunk")).alias("bytes"))
-        out = row if out is None else out.unionByName(row)
+    """Tokens and bytes a token with only the first k merges, for each k.
+
+    Merges take place in the order of their ranks, so the lengths for all k come from encoding a chunk once.
+    """
+    inside = {i: [] for i in range(256)}  # ranks of the merges that a token is made of
+    for k, a, b, new, _ in merges:
+        inside[new] = [*inside[a], *inside[b], k]
+    encode = _encoder(merges)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in encode(batches):
+            sums = {k: [0, 0] for k in points}
+            for chunk, freq, ids in zip(pdf["chunk"], pdf["freq"], pdf["ids"]):
+                n, ranks = len(chunk.encode("utf-8")), sorted(r for i in ids for r in inside[i])
+                for k in points:
+                    sums[k][0] += int(freq) * (n - bisect_left(ranks, k))
+                    sums[k][1] += int(freq) * n
+            yield pd.DataFrame([(k, *v) for k, v in sums.items()], columns=["merges", "tokens", "bytes"])
+
+    out = table.select("chunk", "freq").mapInPandas(run, "merges int, tokens bigint, bytes bigint").groupBy("merges").agg(F.sum("tokens").alias("tokens"), F.sum("bytes").alias("bytes"))
     return out.withColumn("bytes_per_token", F.col("bytes") / F.col("tokens"))
 
 
