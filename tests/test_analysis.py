@@ -138,6 +138,23 @@ def test_vocabulary_of_the_reference_size(spark, tmp_path):
     assert sorted(curve) == [0, 244, 744, 1744, 2744, 3744, 5744, 7744] and curve[0] == 1.0 < curve[244] < curve[744]
 
 
+def test_pieces_and_utilisation_are_of_tokens(spark, tmp_path):
+    """Brute force with the plain trainer; a text of one word is a chunk, so each document is one."""
+    from weftline.plans import analysis as P
+
+    texts = ["internationality", "internationality", "nationalization", "standardization", "internally"]
+    docs = [(i, "a" if i < 3 else "b", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    heads = ["internationality", "standardization", "short"]
+    spark.createDataFrame([("dictionary", {"word": w}) for w in heads], "seed_kind string, raw map<string, string>").write.parquet(f"{tmp_path}/seeds.parquet")
+    merges, seqs = plain_bpe(texts, 7744)
+    r = P.QUERIES["rare_word_tokens"](spark, str(tmp_path)).first()
+    assert (r["words"], r["mean_pieces"]) == (2, (len(seqs[0]) + len(seqs[3])) / 2)
+    got = {r["source"]: (r["used"], r["utilisation"]) for r in P.QUERIES["vocabulary_utilisation_tokens"](spark, str(tmp_path)).collect()}
+    used = {"a": len({i for s in seqs[:3] for i in s}), "b": len({i for s in seqs[3:] for i in s})}
+    assert got == {k: (n, round(n / (256 + len(merges)), 9)) for k, n in used.items()}
+
+
 def test_merge_does_not_overlap_or_match_inside_ids(spark):
     df = spark.createDataFrame([("1;1;1;",), ("11;1;21;1;",), ("4;14;5;4;5;",)], "ids string")
     assert [r[0] for r in df.select(K.merged(F.col("ids"), 1, 1, 9)).collect()] == ["9;1;", "11;1;21;1;", "4;14;5;4;5;"]

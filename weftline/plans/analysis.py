@@ -333,17 +333,38 @@ def bpe_compression(spark, d):
 
 @query(r"SELECT source, count(DISTINCT b) AS used, round(count(DISTINCT b) / 256.0, 9) AS utilisation FROM (SELECT lower(trim(source)) AS source, unnest(regexp_extract_all(hex(encode(text)), '[0-9A-F]{2}')) AS b FROM documents) GROUP BY source")
 def vocabulary_utilisation(spark, d):
-    """Different ids used of the byte vocabulary, by source."""
+    """Different ids used of the byte vocabulary, by source; ``vocabulary_utilisation_tokens`` has those of the trained one."""
     b = table(spark, d, "documents").select(C.source_name(F.col("source")).alias("source"), F.explode(F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit("[0-9A-F]{2}"), F.lit(0))).alias("b"))
     return b.groupBy("source").agg(F.countDistinct("b").alias("used")).withColumn("utilisation", F.round(F.col("used") / 256.0, 9))
 
 
 @query("SELECT count(*) AS words, round(avg(n), 6) AS mean_bytes FROM (SELECT octet_length(encode(word)) AS n FROM (SELECT DISTINCT raw['word'] AS word FROM seeds WHERE seed_kind = 'dictionary') WHERE regexp_full_match(word, '[a-zA-Z]+') AND length(word) >= 12 ORDER BY sha1('7:' || word), word LIMIT 20)")
 def rare_word_pieces(spark, d):
-    """Mean pieces (bytes, before any merge) of twenty long headwords."""
+    """Mean bytes (pieces before any merge) of twenty long headwords; ``rare_word_tokens`` has the pieces."""
+    return _rare_words(spark, d).agg(F.count("*").alias("words"), F.round(F.avg(F.octet_length("word")), 6).alias("mean_bytes"))
+
+
+def _rare_words(spark, d):
     w = table(spark, d, "seeds").where("seed_kind = 'dictionary'").select(F.col("raw")["word"].alias("word")).distinct()
-    w = w.where(F.col("word").rlike("^[a-zA-Z]+$") & (F.length("word") >= 12)).orderBy(X.order_key(7, F.col("word")), "word").limit(20)
-    return w.agg(F.count("*").alias("words"), F.round(F.avg(F.octet_length("word")), 6).alias("mean_bytes"))
+    return w.where(F.col("word").rlike("^[a-zA-Z]+$") & (F.length("word") >= 12)).orderBy(X.order_key(7, F.col("word")), "word").limit(20)
+
+
+@query()
+def vocabulary_utilisation_tokens(spark, d):
+    """Different token ids used of the trained vocabulary, by source (iterative, so without SQL)."""
+    docs = table(spark, d, "documents")
+    _, m = _bpe(spark, d)
+    ids = K.encode_documents(docs.select("doc_id", "text"), m).select("doc_id", F.explode(F.array_distinct("ids")).alias("id"))
+    used = ids.join(docs.select("doc_id", C.source_name(F.col("source")).alias("source")), "doc_id").groupBy("source").agg(F.countDistinct("id").alias("used"))
+    return used.withColumn("utilisation", F.round(F.col("used") / float(256 + len(m)), 9))
+
+
+@query()
+def rare_word_tokens(spark, d):
+    """Mean pieces of the twenty long headwords of ``rare_word_pieces`` under the trained merges (iterative, so without SQL)."""
+    _, m = _bpe(spark, d)
+    pieces = K.encode_chunks(_rare_words(spark, d).select(F.col("word").alias("chunk"), F.lit(1).cast("bigint").alias("freq")), m)
+    return pieces.agg(F.count("*").alias("words"), F.round(F.avg(F.size("ids")), 6).alias("mean_pieces"))
 
 
 _UP = "WHEN s < 20 THEN (s + 1) / 20.0"
