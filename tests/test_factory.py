@@ -117,3 +117,12 @@ def test_whole_queries_lose_no_tokens(spark, tmp_path):
     assert P.QUERIES["sft_batches_whole"](spark, str(tmp_path)).first()["width"] == 5 * 105
     r = P.QUERIES["preference_examples_whole"](spark, str(tmp_path)).first()
     assert (r["shared_prefix"], r["chosen_length"], r["rejected_length"]) == (4, 105, 106)
+
+
+def test_replies_with_escapes_come_through(spark, tmp_path):
+    from weftline.plans import factory as P
+
+    asks = {1: r"C:\temp\new", 2: r"\frac{1}{2} and \alpha", 3: 'say "hi"\n\tnow', 4: None, 5: "\\", 6: "plain"}
+    spark.createDataFrame(list(asks.items()), "row_id bigint, instruction string").write.parquet(f"{tmp_path}/generated_rows.parquet")
+    got = {r["batch_id"]: (r["row_id"], r["instruction"], r["ok"]) for r in P.QUERIES["reply_parse_whole"](spark, str(tmp_path)).collect()}
+    assert got == {str(i): (None, None, False) if i == 5 else (i, a, True) for i, a in asks.items()}

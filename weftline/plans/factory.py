@@ -169,8 +169,20 @@ def json_paths(spark, d):
 SELECT CAST(row_id AS VARCHAR) AS batch_id, CASE WHEN row_id % 5 = 0 THEN NULL ELSE row_id END AS row_id, CASE WHEN row_id % 5 = 0 THEN NULL ELSE translate(instruction, '“”‘’▁″′', '""''''' || ' "''') END AS instruction, row_id % 5 <> 0 AS ok
 FROM generated_rows WHERE NOT contains(instruction, chr(92))""")
 def reply_parse(spark, d):
-    """Each row wrapped as a model's reply with prose, fence, an item that is no object and trailing commas; every fifth can't be read."""
-    r = _rows(spark, d).where(~F.contains("instruction", F.lit("\\")))
+    """Each row wrapped as a model's reply with prose, fence, an item that is no object and trailing commas; every fifth can't be read.
+
+    Rows with a backslash or without instruction are left out, as in the SQL; ``reply_parse_whole`` has them.
+    """
+    return _replies(_rows(spark, d).where(~F.contains("instruction", F.lit("\\"))))
+
+
+@query()
+def reply_parse_whole(spark, d):
+    """All rows through the parser, with escapes and without instruction too (no SQL, tested on a fixture)."""
+    return _replies(_rows(spark, d))
+
+
+def _replies(r):
     body = F.to_json(F.struct("row_id", "instruction"))
     reply = F.when(F.col("row_id") % 5 == 0, F.lit("I'm sorry, there is nothing to give.")).otherwise(F.concat(F.lit("Here it is:\n```json\n[\n▁"), body, F.lit(", 2,\n]\n```\nBye.")))
     parsed = G.parse_replies(r.select(F.col("row_id").cast("string").alias("batch_id"), reply.alias("reply")))
