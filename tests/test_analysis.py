@@ -175,3 +175,15 @@ def test_windows_stay_within_documents(spark):
     spans = spark.createDataFrame([("a", 0, 7, 50), ("a", 1, 8, 40)], "source string, doc_no bigint, doc_id bigint, tokens bigint")
     got = M.windows(M.draws(w, 40, 2, 1), spans, 16, 1).collect()
     assert len(got) == 80 and all(0 <= r["start"] < {7: 50, 8: 40}[r["doc_id"]] - 16 for r in got)
+
+
+def test_scores_of_the_whole_vector(spark, tmp_path):
+    """The two largest numbers lie behind the first sixteen."""
+    from weftline.plans import analysis as P
+
+    v = [0.0] * 64
+    v[40], v[63] = 2.0, 1.9
+    spark.createDataFrame([(1, "a", v)], "vec_id bigint, label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    run = lambda name: P.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r["position"] for r in run("gate_top2_whole")} == {r["expert"] for r in run("gate_load_whole")} == {40, 63}
+    assert run("nucleus_sizes_whole")[0]["kept"] == 2 and len(run("expert_load_whole")) == 64

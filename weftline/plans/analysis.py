@@ -409,14 +409,22 @@ def next_batch_ids(spark, d):
 _SCORES = "WITH s AS (SELECT vec_id, unnest(range(16)) AS position, unnest(embedding[:16])::DOUBLE * 8 AS score FROM embeddings), e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY vec_id)) AS x FROM s), p AS (SELECT *, x / sum(x) OVER (PARTITION BY vec_id) AS p FROM e) "
 
 
-def _scores(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 16)).alias("position", "s")).select("vec_id", "position", (F.col("s").cast("double") * 8).alias("score"))
+_ALL_SCORES = _SCORES.replace("range(16)", "range(len(embedding))").replace("embedding[:16]", "embedding")
+
+
+def _scores(spark, d, whole=False):
+    v = F.col("embedding") if whole else F.slice("embedding", 1, 16)
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode(v).alias("position", "s")).select("vec_id", "position", (F.col("s").cast("double") * 8).alias("score"))
 
 
 @query(_SCORES + ", r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, position) AS rank FROM p) SELECT vec_id, CAST(position AS INTEGER) AS position, round(p, 6) AS p, round(p / sum(p) OVER (PARTITION BY vec_id), 6) AS gate FROM r WHERE rank <= 2")
 def gate_top2(spark, d):
-    """Softmax over sixteen scores, the two best with their renormalised gates."""
-    t = S.softmax_top(_scores(spark, d), 2)
+    """Softmax over the first sixteen scores, the two best with their renormalised gates; ``gate_top2_whole`` has all scores."""
+    return _top2(_scores(spark, d))
+
+
+def _top2(scores):
+    t = S.softmax_top(scores, 2)
     return t.select("vec_id", "position", F.round("p", 6).alias("p"), F.round("gate", 6).alias("gate"))
 
 
@@ -432,3 +440,31 @@ def gate_load(spark, d):
 @query(_SCORES + ", r AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT vec_id, count(*) AS kept FROM r WHERE before <= 0.9 GROUP BY vec_id")
 def nucleus_sizes(spark, d):
     return S.nucleus(_scores(spark, d), 0.9).groupBy("vec_id").agg(F.count("*").alias("kept"))
+
+
+@query(_ALL_SCORES + ", r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, position) AS rank FROM p) SELECT vec_id, CAST(position AS INTEGER) AS position, round(p, 6) AS p, round(p / sum(p) OVER (PARTITION BY vec_id), 6) AS gate FROM r WHERE rank <= 2")
+def gate_top2_whole(spark, d):
+    """Softmax over the whole vector."""
+    return _top2(_scores(spark, d, whole=True))
+
+
+@query(_ALL_SCORES + ", r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, position) AS rank FROM p), k AS (SELECT position, count(*) AS n FROM r WHERE rank <= 2 GROUP BY 1) SELECT CAST(position AS INTEGER) AS expert, round(n / (2.0 * (SELECT count(*) FROM embeddings)), 9) AS load, CAST(sign(2.0 * (SELECT count(*) FROM embeddings) / (SELECT max(len(embedding)) FROM embeddings) - n) AS INTEGER) AS bias_step FROM k")
+def gate_load_whole(spark, d):
+    """Load of each expert of the whole vector, against an even share of all of them."""
+    t = S.softmax_top(_scores(spark, d, whole=True), 2).groupBy(F.col("position").alias("expert")).agg(F.count("*").alias("n"))
+    total = table(spark, d, "embeddings").agg((2.0 * F.count("*")).alias("t"), F.max(F.size("embedding")).alias("experts"))
+    t = t.crossJoin(F.broadcast(total))  # one row
+    return t.select("expert", F.round(F.col("n") / F.col("t"), 9).alias("load"), F.signum(F.col("t") / F.col("experts") - F.col("n")).cast("int").alias("bias_step"))
+
+
+@query(_ALL_SCORES + ", r AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT vec_id, count(*) AS kept FROM r WHERE before <= 0.9 GROUP BY vec_id")
+def nucleus_sizes_whole(spark, d):
+    """Nucleus over the whole vector."""
+    return S.nucleus(_scores(spark, d, whole=True), 0.9).groupBy("vec_id").agg(F.count("*").alias("kept"))
+
+
+@query("SELECT label, CAST(e.pos AS INTEGER) AS expert, round(avg(e.load), 6) AS load FROM (SELECT label, unnest(embedding) AS load, unnest(range(len(embedding))) AS pos FROM embeddings) e GROUP BY 1, 2")
+def expert_load_whole(spark, d):
+    """Mean of each number of the whole vectors by label."""
+    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("expert", "load"))
+    return e.groupBy("label", "expert").agg(F.round(F.avg(F.col("load").cast("double")), 6).alias("load"))
