@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
-from weftline.functions.session import cut
+from weftline.functions.session import cut, ship
 
 
 def clean(documents: DataFrame, newline: str = "unify") -> DataFrame:
@@ -14,6 +14,7 @@ def clean(documents: DataFrame, newline: str = "unify") -> DataFrame:
 
     ``newline="preserve"`` leaves carriage returns alone, so texts with CRLF keep all their blank lines.
     """
+    ship(documents.sparkSession)
     text = F.col("text") if newline == "preserve" else X.unify_newlines(F.col("text"))
     return documents.withColumn("text", X.strip(X.collapse_blanks(X.nfc(text))))
 

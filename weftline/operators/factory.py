@@ -116,7 +116,7 @@ def reason(quality: dict[str, Column], term: Column) -> tuple[Column, Column, Co
 def validated(rows: DataFrame, specs: DataFrame) -> DataFrame:
     """Rows with signature, reason_code and reason. specs is a fixed small table of tasks and is broadcast."""
     spec = specs.select(F.col("name").alias("task"), "dedup_key", F.col("quality").alias("_q"))
-    full = rows.join(F.broadcast(spec), "task")
+    full = rows.join(spec, "task")
     quality = {k: F.coalesce(F.col(f"_q.{k}"), F.lit(v)) if v is not None else F.col(f"_q.{k}") for k, v in Quality().__dict__.items()}
     full = with_language(full, "response", "_lang").withColumns({"_ask": strip(F.col("instruction")), "_reply": strip(F.col("response")), "_low": F.lower("response")})
     rule, code, why = reason(quality, F.col("meta.word"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.session import materialise
 from weftline.functions.text import unit_interval
 
 
@@ -32,7 +33,7 @@ def windows(drawn: DataFrame, spans: DataFrame, length: int, seed: int) -> DataF
 
     spans: source, doc_no (0.. within source, of documents longer than length), doc_id, tokens. Documents are joined by number.
     """
-    count = spans.groupBy("source").agg(F.count("*").alias("docs"))  # one row a source
-    at = drawn.join(F.broadcast(count), "source").withColumn("doc_no", F.floor(unit_interval(seed + 1, F.col("step"), F.col("slot")) * F.col("docs")).cast("bigint"))
+    count = materialise(spans.groupBy("source").agg(F.count("*").alias("docs")), "counts")  # its true size decides how it is joined
+    at = drawn.join(count, "source").withColumn("doc_no", F.floor(unit_interval(seed + 1, F.col("step"), F.col("slot")) * F.col("docs")).cast("bigint"))
     start = F.floor(unit_interval(seed + 2, F.col("step"), F.col("slot")) * (F.col("tokens") - length)).cast("bigint")
     return at.join(spans, ["source", "doc_no"]).withColumn("start", start).select("step", "slot", "source", "doc_id", "start")

@@ -56,8 +56,9 @@ def verdict(delta: Column, floor: float = 0.015) -> Column:
 
 
 def against(bests: DataFrame, control, value: str = "best") -> DataFrame:
-    """Difference to the control run."""
-    base = bests.where(F.col("run_id") == control).select(F.col(value).alias("control"))
+    """Difference to the control run; no rows where there is none, an error where several have its id."""
+    base = bests.where(F.col("run_id") == control).agg(F.max(value).alias("control"), F.count("*").alias("_n"))
+    base = base.where(F.when(F.col("_n") > 1, F.raise_error(F.lit(f"more than one run {control}"))).otherwise(F.col("_n") == 1)).drop("_n")
     return bests.crossJoin(F.broadcast(base)).withColumn("delta", F.col(value) - F.col("control"))  # one row
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.session import cut
+from weftline.functions.session import cut, python_stage
 
 # Fixed value: the splitting pattern of the common byte-level vocabularies.
 GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -68,7 +68,7 @@ def train(table: DataFrame, merges: int, first_id: int = 256, min_frequency: int
     if (table.agg(F.sum(F.octet_length("chunk"))).first()[0] or 0) <= in_one_task:
         rows = table.select("chunk", "freq", "first.doc_id", "first.pos").repartition(1).sortWithinPartitions("doc_id", "pos")
         run = _trainer(merges, first_id, min_frequency)
-        return sorted(tuple(r) for r in rows.mapInPandas(run, "rank int, left int, right int, new_id int, n bigint").collect())
+        return sorted(tuple(r) for r in python_stage(rows, run, "rank int, left int, right int, new_id int, n bigint").collect())
     out: list[tuple[int, int, int, int, int]] = []
     work, since = cut(table.select("freq", "first", "ids")), 0
     while len(out) < merges:
@@ -210,7 +210,7 @@ def _encoder(merges: list[tuple[int, int, int, int, int]]):
 
 def encode_chunks(table: DataFrame, merges: list[tuple[int, int, int, int, int]]) -> DataFrame:
     """chunk, freq, ids (array): each distinct chunk is encoded once, whatever its number."""
-    return table.select("chunk", "freq").mapInPandas(_encoder(merges), "chunk string, freq bigint, ids array<int>")
+    return python_stage(table.select("chunk", "freq"), _encoder(merges), "chunk string, freq bigint, ids array<int>")
 
 
 def encode_documents(documents: DataFrame, merges: list[tuple[int, int, int, int, int]], mode: str = "gpt2", end_id: int | None = None) -> DataFrame:
@@ -228,7 +228,7 @@ def encode_documents(documents: DataFrame, merges: list[tuple[int, int, int, int
                 seen.update(zip(part["chunk"], part["ids"]))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [[i for c in cs for i in seen[c]] + ([] if end_id is None else [end_id]) for cs in pdf["chunks"]]})
 
-    return documents.where(F.col("text").isNotNull()).select("doc_id", pretokenized(F.col("text"), mode).alias("chunks")).mapInPandas(run, "doc_id bigint, ids array<int>")
+    return python_stage(documents.where(F.col("text").isNotNull()).select("doc_id", pretokenized(F.col("text"), mode).alias("chunks")), run, "doc_id bigint, ids array<int>")
 
 
 def vocabulary(merges: list[tuple[int, int, int, int, int]]) -> dict[int, bytes]:
@@ -265,7 +265,7 @@ def compression(table: DataFrame, merges: list[tuple[int, int, int, int, int]],
                     sums[k][1] += int(freq) * n
             yield pd.DataFrame([(k, *v) for k, v in sums.items()], columns=["merges", "tokens", "bytes"])
 
-    out = table.select("chunk", "freq").mapInPandas(run, "merges int, tokens bigint, bytes bigint").groupBy("merges").agg(F.sum("tokens").alias("tokens"), F.sum("bytes").alias("bytes"))
+    out = python_stage(table.select("chunk", "freq"), run, "merges int, tokens bigint, bytes bigint").groupBy("merges").agg(F.sum("tokens").alias("tokens"), F.sum("bytes").alias("bytes"))
     return out.withColumn("bytes_per_token", F.col("bytes") / F.col("tokens"))
 
 

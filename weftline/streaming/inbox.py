@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.session import python_stage
 from weftline.operators.factory import dedup_valid, parse_replies, validated
 from weftline.sources.files import METRICS
 
@@ -77,4 +78,4 @@ def generate(prompts: DataFrame, backend, schema: str = "batch_id string, ok boo
                     out.append((batch_id, False, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["batch_id", "ok", "reply", "detail"])
 
-    return prompts.select("batch_id", "prompt").mapInPandas(run, schema)
+    return python_stage(prompts.select("batch_id", "prompt"), run, schema)
