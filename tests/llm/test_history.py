@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from weftline.llm import history as H
 
@@ -46,17 +47,86 @@ def test_cases_in_any_number_of_batches(spark):
 
 
 def test_hot_segments_lose_nothing(spark):
-    assert found(spark, ROWS, hot=0) == WANT
+    for hot in (0, 1):
+        for slices in (1, 3):
+            assert found(spark, ROWS, slices=slices, hot=hot) == WANT
 
 
-def test_index_by_hand(spark):
-    index = H.HistoryIndex(spark, H.HistoryRules(buckets=2))
-    sp = specs(spark)
+def test_reply_keys_meet_within_two_words():
+    rng = random.Random(2)
+    for _ in range(3000):
+        a = [rng.choice("pqrstuvwxyz") * rng.randint(1, 3) for _ in range(rng.randint(1, 16))]
+        b = list(a)
+        for _ in range(2):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randrange(2)] = rng.choice([[], ["new"]])
+        assert not b or set(H.reply_keys(a, 6, 2)) & set(H.reply_keys(b, 6, 2))
+
+
+def test_short_replies_of_one_segment_are_not_all_candidates():
+    """Unrelated responses of few words share no key, as no part without words counts."""
+    rng = random.Random(3)
+    for n, most in ((5, 0), (8, 0), (9, 0.02), (17, 0.005)):
+        keys = [set(H.reply_keys([f"w{rng.randrange(10**6)}" for _ in range(n)], 6, 2)) for _ in range(200)]
+        share = sum(bool(a & b) for i, a in enumerate(keys) for b in keys[:i]) / (200 * 199 / 2)
+        assert share <= most
+
+
+def ids(df):
+    return {r["row_id"] for r in df.collect()}
+
+
+def test_index_is_opened_again_and_appending_twice_changes_nothing(spark, tmp_path):
+    folder, sp = f"file://{tmp_path}/index", specs(spark)
+    index = H.HistoryIndex(spark, H.HistoryRules(buckets=2), folder)
     first = index.prepare(spark.createDataFrame(ROWS[:1], ROW), sp)
     assert index.check(first).count() == 0
-    index.append(first)
+    assert index.append(first) and not index.append(first)
     second = index.prepare(spark.createDataFrame(ROWS[1:3], ROW), sp)
-    assert {r["row_id"] for r in index.check(second).collect()} == {2, 3}
+    assert ids(index.check(second)) == {2, 3}
+    index.discard(second)
+    index.close()
+    again = H.HistoryIndex(spark, H.HistoryRules(buckets=7), folder)
+    assert again.rules.buckets == 2
+    assert not again.append(again.prepare(spark.createDataFrame(ROWS[:1], ROW), sp))
+    second = again.prepare(spark.createDataFrame(ROWS[1:3], ROW), sp)
+    assert ids(again.check(second)) == {2, 3}
+    assert again.append(second)
+    other = H.HistoryIndex(spark, folder=folder)
+    third = other.prepare(spark.createDataFrame([row(50, "renmurdonli", response="quite another")], ROW), sp)
+    assert ids(other.check(third)) == {50}
+    assert other._part("keys", sorted(other.committed.values())).count() == 3  # one of them in either batch
+
+
+def test_staged_batches_are_not_history(spark, tmp_path):
+    folder, sp = f"file://{tmp_path}/index", specs(spark)
+    index = H.HistoryIndex(spark, H.HistoryRules(buckets=2), folder)
+    index.prepare(spark.createDataFrame(ROWS[:1], ROW), sp)
+    assert ids(index.check(index.prepare(spark.createDataFrame(ROWS[1:2], ROW), sp))) == set()
+
+
+def test_history_is_not_shuffled(spark, tmp_path):
+    """No exchange above a scan of the index's tables in any join of the check; few candidates read their buckets only."""
+    sp = specs(spark)
+    index = H.HistoryIndex(spark, H.HistoryRules(buckets=16), f"file://{tmp_path}/index")
+    index.append(index.prepare(spark.createDataFrame([row(k, f"{k * k:04d}wort{k:03d}") for k in range(200)], ROW), sp))
+    batch = index.prepare(spark.createDataFrame([row(900, "0049wart007")], ROW), sp)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = H.materialise(index.candidates(batch), "pairs")
+        for df in (index.candidates(batch), index.first_arrivals(batch), index.stored_texts(batch, pairs)):
+            plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+            depth = [len(x) - len(x.lstrip(" :+-")) for x in plan]
+            (join,) = [i for i, x in enumerate(plan) if "ShuffledHashJoin" in x]
+            other = next(i for i in range(join + 2, len(plan)) if depth[i] == depth[join + 1])
+            history = plan[join + 1 : other]
+            assert [x.lstrip(" :+-").split(" ")[0] for x in history] == ["Project", "Filter", "FileScan"] and "Bucketed: true" in history[-1]
+        text = index.stored_texts(batch, pairs)._jdf.queryExecution().executedPlan().toString()
+        assert any(f"SelectedBucketsCount: {n} out of 16" in text for n in range(1, 9))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert ids(index.check(batch)) == {900}
 
 
 def test_empty(spark):

@@ -4,36 +4,45 @@ A row's dedup fields are compared apart from their writing. Two things make it a
 same fields (any response), or one whose word, in its field or as quoted in another field, differs by a single slip while the
 rest agrees and the response is the same but for ``max_words`` words.
 
-The index has three tables in one folder, the first two bucketed by their keys so that a probe shuffles the batch and not the history:
+The index lies in one folder and outlives the session; it has four tables, bucketed by their first column:
 
-* ``keys``: each combination of task and fields with its earliest arrival;
-* ``segments``: for each distinct entry (known by a 64-bit hash) the two segments of its word, stored by side and segment length. With one slip
-  allowed, two segments are enough: one stays whole (one or two characters in the middle belong to neither, so a swap of
-  neighbours is covered), and a word of length n is probed with the prefixes and suffixes that words of n-1, n and n+1 have;
-* ``rows``: word and response of each entry, read for the candidates that are verified.
+* ``entries``: each distinct entry (known by a 64-bit hash) with word and response, read for the candidates that are verified;
+* ``keys``: the undivided fields as one segment, with the earliest arrival;
+* ``postings``: the two segments of each entry's word, stored by side and segment length. With one slip allowed, two segments are
+  enough: one stays whole (one or two characters in the middle belong to neither, so a swap of neighbours is covered), and a word
+  of length n is probed with the prefixes and suffixes that words of n-1, n and n+1 have;
+* ``counts``: how many entries each segment has, by batch.
 
-A segment that very many entries share would give quadratic candidates. Beyond ``hot`` entries a segment is therefore joined
-together with blocks of the response: its words fall into ``2 * max_words + 1`` blocks by hash; ``max_words`` changed words touch
-at most ``2 * max_words`` of them, so one block still agrees and no case is lost.
+``prepare`` stages a batch in these tables under a name of its own, ``check`` probes, ``append`` commits the staged batch by one
+line in ``manifest``. A batch that was staged and never committed is not seen by others, and appending the same batch again (by its
+content, or by the id given) changes nothing. The batch is shuffled into the buckets of the index and joined with the
+tables there: history is neither shuffled nor sorted nor united with anything, only its columns needed are scanned.
+
+No posting list grows beyond ``hot`` entries: once a segment has more, its further entries are stored under the segment together
+with a key of the response, and are probed by such keys. Responses of up to 10 words have as keys what is left when any
+``max_words`` or fewer words are left out; longer ones (9 words or more, so any two that may agree have keys of one kind) are dealt out
+to ``2 * max_words + 2`` zones by the words' hashes, of which at least two stay whole; each two zones make a key. So nothing is lost.
 
 Nulls: a row lacking task or one of its fields is never a case and enters no table; a null or blank response can only be a
-case by equal fields. Ties in arrival are broken by ``row_id``. The same rows appended again change nothing.
+case by equal fields. Ties in arrival are broken by ``row_id``. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.session import materialise, shared_dir, table
+from weftline.functions.session import materialise, python_stage, remove_folder, shared_dir, ship, table
 from weftline.llm.writing import one_slip, squash, word_distance, words
 
 _WORD = "\x01"
@@ -41,11 +50,19 @@ _WORD = "\x01"
 
 @dataclass(frozen=True)
 class HistoryRules:
-    """``max_words``: words of a response that may differ beside a slip; ``hot``: entries of a segment from which blocks are used."""
+    """``max_words``: words of a response that may differ beside a slip; ``hot``: most entries a segment lists by itself.
+
+    ``buckets`` of the tables; a folder keeps the rules it was made with. Up to ``listed`` candidates are looked up by name, so that only their buckets are read.
+    """
 
     max_words: int = 2
     hot: int = 64
     buckets: int = 24
+    listed: int = 1000
+
+    @property
+    def zones(self) -> int:
+        return 2 * self.max_words + 2
 
 
 def _number(text: str) -> int:
@@ -92,17 +109,34 @@ def segments(near: int, word: str) -> tuple[list[int], int]:
     return out, 2 * sizes.index(max(1, (n - 1) // 2))
 
 
-def reply_blocks(reply: list[str], blocks: int) -> int:
-    """The words' hashes summed up by block, each block in an equal share of 60 bits."""
-    width, sums = 60 // blocks, [0] * blocks
+_SHORT, _LONG = 10, 9
+
+
+def reply_zones(reply: list[str], zones: int) -> int:
+    """The words' hashes summed up by zone, each zone in an equal share of 60 bits."""
+    width, sums = 60 // zones, [0] * zones
     for w in reply:
         b = zlib.crc32(w.encode())
-        sums[b % blocks] += b // blocks
+        sums[b % zones] += b // zones
     return sum((x & ((1 << width) - 1)) << (width * z) for z, x in enumerate(sums))
 
 
-def _normal(blocks: int):
-    columns = ["row_id", "arrived", "same", "entry", "word", "reply", "probes", "own", "blocks"]
+def reply_keys(reply: list[str], zones: int, max_words: int) -> list[int]:
+    """Two responses within ``max_words`` changed, lost or added words have a key in common."""
+    keys: set[int] = set()
+    if len(reply) <= _LONG - 1 + max_words:
+        for k in range(min(max_words, len(reply)) + 1):
+            keys.update(_number("-" + " ".join(kept)) for kept in combinations(reply, len(reply) - k))
+    if len(reply) >= _LONG:
+        parts: list[list[str]] = [[] for _ in range(zones)]
+        for w in sorted(reply):
+            parts[zlib.crc32(w.encode()) % zones].append(w)
+        keys.update(_number(f"{i},{j} {' '.join(parts[i])}|{' '.join(parts[j])}") for i, j in combinations(range(zones), 2))
+    return sorted(keys)
+
+
+def _normal(zones: int):
+    columns = ["row_id", "arrived", "key", "mark", "entry", "word", "reply", "probes", "own", "zones"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -117,17 +151,31 @@ def _normal(blocks: int):
                 reply = response_words(response, w, len(words(word)))
                 text = " ".join(reply)
                 probes, own = segments(near, w)
-                rows.append((row_id, ts, same, _number(f"{near}\n{w}\n{text}") if reply else None, w, text, probes, own, reply_blocks(reply, blocks)))
+                key, mark = int.from_bytes(same[:8], "big", signed=True), int.from_bytes(same[8:], "big", signed=True)
+                rows.append((row_id, ts, key, mark, _number(f"{near}\n{w}\n{text}") if reply else None, w, text, probes, own, reply_zones(reply, zones)))
             out = pd.DataFrame(rows, columns=columns)
             yield out.astype({"entry": "Int64"})
 
     return run
 
 
-def normal_rows(rows: DataFrame, specs: DataFrame, blocks: int = 5) -> DataFrame:
+def _spread(zones: int, max_words: int):
+    """Segments of hot lists together with each key of the response."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = [reply_keys(r.split(" "), zones, max_words) for r in pdf["reply"]]
+            out = pdf.drop(columns="reply")
+            out["keys"] = [[_number(f"{k} {x}") for x in own] for k, own in zip(pdf["key"], keys, strict=True)]
+            yield out.drop(columns="key")
+
+    return run
+
+
+def normal_rows(rows: DataFrame, specs: DataFrame, zones: int = 6) -> DataFrame:
     """Rows with comparable forms of their dedup fields; rows lacking one are left out.
 
-    specs is a fixed small table (name, dedup_key, seed_term_field) and is broadcast. A path without a dot means a column, or else a field of ``meta``.
+    specs: name, dedup_key, seed_term_field. A path without a dot means a column, or else a field of ``meta``.
     """
     columns: dict[str, Column] = {}
     for f in rows.schema.fields:
@@ -139,7 +187,7 @@ def normal_rows(rows: DataFrame, specs: DataFrame, blocks: int = 5) -> DataFrame
         columns.setdefault(f.name, columns[f"meta.{f.name}"])
     known = F.create_map(*(x for name, c in columns.items() for x in (F.lit(name), c.cast("string"))))
     specs = specs.select(F.col("name").alias("task"), F.split(F.trim("dedup_key"), r"\s*\+\s*").alias("paths"), F.col("seed_term_field").alias("term"))
-    full = rows.join(F.broadcast(specs), "task")
+    full = rows.join(specs, "task")
     is_word = lambda p: F.element_at(F.split(p, r"\."), -1) == F.col("term")
     value = lambda p: F.try_element_at(known, p)
     out = full.select(
@@ -151,7 +199,7 @@ def normal_rows(rows: DataFrame, specs: DataFrame, blocks: int = 5) -> DataFrame
         "response",
     )
     out = out.where(F.col("word").isNotNull() & F.col("arrived").isNotNull() & ~F.exists("rest", lambda x: x.isNull()))
-    return out.mapInPandas(_normal(blocks), "row_id bigint, arrived bigint, same binary, entry bigint, word string, reply string, probes array<bigint>, own int, blocks bigint")
+    return python_stage(out, _normal(zones), "row_id bigint, arrived bigint, key bigint, mark bigint, entry bigint, word string, reply string, probes array<bigint>, own int, zones bigint")
 
 
 def _verify(max_words: int):
@@ -161,94 +209,191 @@ def _verify(max_words: int):
                 one_slip(a, b) and word_distance(ra.split(" "), rb.split(" "), max_words) <= max_words
                 for a, b, ra, rb in zip(pdf["word"], pdf["word_s"], pdf["reply"], pdf["reply_s"], strict=True)
             ]
-            yield pdf.loc[ok, ["entry", "a0", "r0"]]
+            yield pdf.loc[ok, ["entry_p", "a0", "r0"]]
 
     return run
 
 
-class HistoryIndex:
-    """The index of everything accepted so far, in a folder of its own: ``prepare`` a batch, ``check`` it, ``append`` it."""
+@dataclass(frozen=True)
+class Batch:
+    """A staged batch: its name in the index's tables, its id, and its rows in slim form (row_id, arrived, key, mark, entry)."""
 
-    def __init__(self, spark: SparkSession, rules: HistoryRules = HistoryRules(), folder: str | None = None):
-        self.spark, self.rules = spark, rules
-        self.name = "weftline_" + uuid.uuid4().hex[:12]
-        self.folder = folder or f"{shared_dir(spark).rstrip('/')}/weftline/{self.name}"
-        self.filled = False
+    stage: str
+    id: str
+    rows: DataFrame
 
-    def _history(self, part: str) -> DataFrame | None:
-        return self.spark.table(f"{self.name}_{part}") if self.filled else None
 
-    def prepare(self, rows: DataFrame, specs: DataFrame) -> DataFrame:
-        """The batch's rows in comparable form, written once."""
-        return materialise(normal_rows(rows, specs, 2 * self.rules.max_words + 1), "rows")
+class HistoryIndex:
+    """The index of everything accepted so far, in a folder: ``prepare`` a batch, ``check`` it, ``append`` it.
 
-    @staticmethod
-    def _entries(batch: DataFrame) -> DataFrame:
-        order = F.struct("arrived", "row_id")
-        out = batch.where(F.col("entry").isNotNull()).groupBy("entry").agg(F.min(order).alias("f"), F.max(order).alias("l"), F.first("probes").alias("probes"), F.first("own").alias("own"), F.first("blocks").alias("blocks"))
-        return out.select("entry", F.col("f.arrived").alias("a0"), F.col("f.row_id").alias("r0"), F.col("l.arrived").alias("last"), (F.col("f.row_id") != F.col("l.row_id")).alias("several"), "probes", "own", "blocks")
+    A folder that holds an index is opened again with all it has, whichever session made it. Several sessions may read it; one appends at a time.
+    """
 
-    @staticmethod
-    def _stored(entries: DataFrame) -> DataFrame:
-        return entries.select(F.explode(F.slice("probes", F.col("own") + 1, F.lit(2))).alias("key"), F.col("r0").alias("r0_s"), F.col("a0").alias("a0_s"), F.col("blocks").alias("blocks_s"))
+    TABLES = {
+        "entries": "entry bigint, a0 bigint, r0 bigint, last bigint, several boolean, word string, reply string, probes array<bigint>, own int, zones bigint",
+        "keys": "key bigint, mark bigint, a0 bigint, r0 bigint, several boolean",
+        "postings": "key bigint, entry bigint, a0 bigint, r0 bigint, zones bigint",
+        "counts": "key bigint, n bigint",
+    }
 
-    def check(self, batch: DataFrame) -> DataFrame:
+    def __init__(self, spark: SparkSession, rules: HistoryRules = HistoryRules(), folder: str | None = None):
+        ship(spark)
+        self.spark = spark
+        self.folder = (folder or f"{shared_dir(spark).rstrip('/')}/weftline/index-{uuid.uuid4().hex}").rstrip("/")
+        self.rules = HistoryRules(**json.loads(self._lines("rules", json.dumps(asdict(rules)))[0]))
+        self.name = "weftline_" + uuid.uuid4().hex[:12]
+        for part, schema in self.TABLES.items():
+            key, at = schema.split(" ")[0], spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{part}")
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
+            spark.sql(
+                f"CREATE TABLE {self.name}_{part} ({schema}, stage string) USING parquet OPTIONS (compression 'zstd') PARTITIONED BY (stage) "
+                f"CLUSTERED BY ({key}) INTO {self.rules.buckets} BUCKETS LOCATION '{self.folder}/{part}'"
+            )
+        self.refresh()
+
+    def refresh(self) -> None:
+        """See what others have appended since."""
+        for part in self.TABLES:
+            self.spark.sql(f"ALTER TABLE {self.name}_{part} RECOVER PARTITIONS")
+        self.committed: dict[str, str] = {}
+        for line in sorted(self._lines("manifest")):
+            done = json.loads(line)
+            self.committed.setdefault(done["batch"], done["stage"])
+
+    def close(self) -> None:
+        """Take the tables' names out of the session; the folder stays."""
+        for part in self.TABLES:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{part}")
+
+    def _lines(self, name: str, first: str | None = None) -> list[str]:
+        """Lines of a small text file set in the folder; ``first`` is written where there is none."""
+        spark, path = self.spark, f"{self.folder}/{name}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            if first is None:
+                return []
+            self._line(name, first)
+        return [r["value"] for r in spark.read.text(path).collect()]  # a line a batch
+
+    def _line(self, name: str, line: str) -> None:
+        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{self.folder}/{name}")
+
+    def _part(self, part: str, stages: list[str]) -> DataFrame:
+        return self.spark.table(f"{self.name}_{part}").where(F.col("stage").isin(stages)).drop("stage")
+
+    def _history(self, part: str, batch: Batch) -> DataFrame:
+        """The table with what is committed and what the batch staged."""
+        return self._part(part, sorted({*self.committed.values(), batch.stage}))
+
+    def _stage(self, part: str, df: DataFrame, stage: str, placed: bool = False) -> DataFrame:
+        key = self.TABLES[part].split(" ")[0]
+        columns = [x.split(" ")[0] for x in self.TABLES[part].split(", ")]
+        df = df if placed else df.repartition(self.rules.buckets, key)
+        df.select(*columns, F.lit(stage).alias("stage")).write.insertInto(f"{self.name}_{part}")
+        return self._part(part, [stage])
+
+    def _probing(self, df: DataFrame, key: str = "key") -> DataFrame:
+        """The batch's side of a join with a table of the index: moved to the buckets there, and the side that is held in memory."""
+        return df.repartition(self.rules.buckets, key).hint("shuffle_hash")
+
+    def prepare(self, rows: DataFrame, specs: DataFrame, batch_id: str | None = None) -> Batch:
+        """Bring the batch's rows into comparable form and stage them. Without an id the batch is known by its content."""
+        rules, stage = self.rules, uuid.uuid4().hex
+        full = materialise(normal_rows(rows, specs, rules.zones), "rows")
+        if batch_id is None:
+            n, total = full.agg(F.count("*"), F.sum(F.xxhash64("row_id", "arrived", "key", "mark", "entry").cast("decimal(38,0)"))).first()
+            batch_id = f"{n}-{total or 0}"
+        order, size = F.struct("arrived", "row_id"), rules.buckets
+        own = full.where(F.col("entry").isNotNull()).repartition(size, "entry").groupBy("entry")
+        own = own.agg(F.min(order).alias("f"), F.max(order).alias("l"), F.first(F.struct("word", "reply", "probes", "own", "zones")).alias("x"))
+        own = own.select("entry", F.col("f.arrived").alias("a0"), F.col("f.row_id").alias("r0"), F.col("l.arrived").alias("last"), (F.col("f.row_id") != F.col("l.row_id")).alias("several"), "x.*")
+        entries = self._stage("entries", own, stage, placed=True)
+        keys = full.groupBy("key", "mark").agg(F.min(order).alias("f"), (F.count("*") > 1).alias("several"))
+        self._stage("keys", keys.select("key", "mark", F.col("f.arrived").alias("a0"), F.col("f.row_id").alias("r0"), "several"), stage)
+        stored = entries.select(F.explode(F.slice("probes", F.col("own") + 1, F.lit(2))).alias("key"), "entry", "a0", "r0", "zones", "reply")
+        self._stage("counts", stored.groupBy("key").agg(F.count("*").alias("n")), stage)
+        batch = Batch(stage, batch_id, full.select("row_id", "arrived", "key", "mark", "entry"))
+        if (hot := self._hot(batch, stored.select("key").distinct())) is None:
+            self._stage("postings", stored, stage)
+        else:
+            spread = python_stage(stored.join(hot, "key", "left_semi"), _spread(rules.zones, rules.max_words), "entry bigint, a0 bigint, r0 bigint, zones bigint, keys array<bigint>")
+            self._stage("postings", stored.drop("reply").join(hot, "key", "left_anti").unionByName(spread.withColumn("key", F.explode("keys")).drop("keys")), stage)
+        return batch
+
+    def _hot(self, batch: Batch, keys: DataFrame) -> DataFrame | None:
+        """Those of the segments that have more than ``hot`` entries by now; None where there are none."""
+        if not self.rules.hot:
+            return keys
+        probe = self._probing(keys.withColumnRenamed("key", "k"), "k")
+        known = self._history("counts", batch).join(probe, F.col("key") == F.col("k")).groupBy("key").agg(F.sum("n").alias("n"))
+        hot = materialise(known.where(F.col("n") > self.rules.hot).select("key"), "hot")
+        return None if hot.isEmpty() else hot
+
+    def first_arrivals(self, batch: Batch) -> DataFrame:
+        """key, mark and the earliest arrival (a0, r0) of those fields of the batch that stand in several rows, in history or the batch."""
+        mine = self._part("keys", [batch.stage]).select(F.col("key").alias("k"), F.col("mark").alias("m"), "several")
+        every = self._history("keys", batch).drop("several").join(self._probing(mine, "k"), (F.col("key") == F.col("k")) & (F.col("mark").bitwiseXOR(F.col("m")) == 0))  # joined by the bucket's column alone
+        first = every.groupBy("key", "mark").agg(F.min(F.struct("a0", "r0")).alias("f"), F.count("*").alias("n"), F.bool_or("several").alias("several"))
+        return first.where("several OR n > 1").select("key", "mark", "f.a0", "f.r0")
+
+    def candidates(self, batch: Batch) -> DataFrame:
+        """entry_p of the batch and entry of the index, with its first arrival, that share a segment and may be within the limits."""
+        rules = self.rules
+        own = self._part("entries", [batch.stage])
+        probes = own.select(F.explode("probes").alias("k"), F.col("entry").alias("entry_p"), "last", F.col("zones").alias("zones_p"), "reply")
+        every = probes.drop("reply")
+        if (hot := self._hot(batch, probes.select(F.col("k").alias("key")).distinct())) is not None:
+            spread = python_stage(
+                probes.withColumnRenamed("k", "key").join(hot, "key", "left_semi"), _spread(rules.zones, rules.max_words), "entry_p bigint, last bigint, zones_p bigint, keys array<bigint>"
+            )
+            every = every.unionByName(spread.select(F.explode("keys").alias("k"), "entry_p", "last", "zones_p"))
+        width = 60 // rules.zones
+        zone = lambda c, z: F.shiftright(F.col(c), z * width).bitwiseAND(F.lit((1 << width) - 1))
+        equal = sum(((zone("zones", z) == zone("zones_p", z)).cast("int") for z in range(rules.zones)), F.lit(0))
+        fits = (F.col("key") == F.col("k")) & (F.col("entry") != F.col("entry_p")) & (F.col("a0") <= F.col("last")) & (equal >= rules.zones - 2 * rules.max_words)
+        return self._history("postings", batch).join(self._probing(every, "k"), fits).select("entry_p", "entry", "a0", "r0").distinct()
+
+    def stored_texts(self, batch: Batch, pairs: DataFrame) -> DataFrame:
+        """The candidates with word and response of the index's entry. A few candidates are named to the scan, which then reads their buckets only."""
+        texts = self._history("entries", batch).select("entry", F.col("word").alias("word_s"), F.col("reply").alias("reply_s"))
+        if self.rules.listed and len(few := pairs.select("entry").distinct().take(self.rules.listed + 1)) <= self.rules.listed:
+            texts = texts.where(F.col("entry").isin([r["entry"] for r in few]))
+        moved = self._probing(pairs.withColumnRenamed("entry", "e"), "e")
+        return texts.join(moved, F.col("entry") == F.col("e")).drop("e")
+
+    def check(self, batch: Batch) -> DataFrame:
         """row_id of every row of the prepared batch that repeats an earlier row, of history or of the batch itself."""
-        rules, entries = self.rules, self._entries(batch)
-        later = (F.col("arrived") > F.col("a0")) | ((F.col("arrived") == F.col("a0")) & (F.col("row_id") > F.col("r0")))
-        first = batch.groupBy("same").agg(F.min(F.struct("arrived", "row_id")).alias("f"))
-        if (old := self._history("keys")) is not None:
-            old = old.groupBy("same").agg(F.min("f").alias("o"))
-            first = first.join(old, "same", "left").select("same", F.least("f", F.coalesce("o", "f")).alias("f"))
-        first = first.select("same", F.col("f.arrived").alias("a0"), F.col("f.row_id").alias("r0"))
-        repeated = batch.select("same", "arrived", "row_id").join(first, "same").where(later).select("row_id")
-
-        stored = self._stored(entries)
-        if (old := self._history("segments")) is not None:
-            stored = old.unionByName(stored)
-        probes = entries.select(F.explode("probes").alias("key"), F.col("r0").alias("r0_p"), F.col("last"), "blocks")
-        parts = 2 * rules.max_words + 1
-        width = 60 // parts
-        block = lambda c, z: F.shiftright(F.col(c), z * width).bitwiseAND(F.lit((1 << width) - 1))
-        hot = stored.groupBy("key").count().where(F.col("count") > rules.hot).select("key")
-        cold = probes.join(hot, "key", "left_anti").join(stored, "key")
-        spread = lambda df, c: df.join(hot, "key", "left_semi").withColumn("part", F.explode(F.array(*(F.struct(F.lit(z).alias("z"), block(c, z).alias("b")) for z in range(parts))))).select("*", "part.*").drop("part")
-        warm = spread(probes, "blocks").join(spread(stored, "blocks_s"), ["key", "z", "b"])
-        agree = F.lit(False)
-        for z in range(parts):
-            agree = agree | (block("blocks", z) == block("blocks_s", z))
-        pair = ["r0_p", "r0_s", "a0_s"]
-        possible = (F.col("r0_p") != F.col("r0_s")) & (F.col("a0_s") <= F.col("last"))
-        pairs = materialise(cold.where(agree & possible).select(pair).unionByName(warm.where(possible).select(pair)).distinct(), "pairs")
-        texts = self._texts(batch, pairs.select(F.col("r0_p").alias("row_id")).union(pairs.select("r0_s")).distinct())
-        mine, theirs = texts.toDF("r0_p", "word", "reply", "entry"), texts.drop("entry").toDF("r0_s", "word_s", "reply_s")
-        near = pairs.join(mine, "r0_p").join(theirs, "r0_s").select("entry", "word", "reply", "word_s", "reply_s", F.col("a0_s").alias("a0"), F.col("r0_s").alias("r0"))
-        near = near.mapInPandas(_verify(rules.max_words), "entry bigint, a0 bigint, r0 bigint").unionByName(entries.where("several").select("entry", "a0", "r0"))
-        near = near.groupBy("entry").agg(F.min(F.struct("a0", "r0")).alias("m")).select("entry", "m.*")
-        slipped = batch.select("entry", "arrived", "row_id").join(near, "entry").where(later).select("row_id")
-        return repeated.unionByName(slipped).distinct()
-
-    def _texts(self, batch: DataFrame, ids: DataFrame) -> DataFrame:
-        """Word and reply of the candidates only; the texts move once."""
-        columns = ["row_id", "word", "reply", "entry"]
-        rows = batch.select(columns)
-        if (old := self._history("rows")) is not None:
-            rows = old.select(columns).unionByName(rows)
-        return materialise(rows.join(ids, "row_id", "left_semi"), "texts")
-
-    def append(self, batch: DataFrame) -> None:
-        """Add the prepared batch to the index; what is there stays as it is."""
-        keys = batch.groupBy("same").agg(F.min(F.struct("arrived", "row_id")).alias("f"))
-        for part, key, df in (("keys", "same", keys), ("segments", "key", self._stored(self._entries(batch)))):
-            out = df.repartition(self.rules.buckets, key).write.mode("append").format("parquet").option("compression", "zstd").option("path", f"{self.folder}/{part}")
-            out.bucketBy(self.rules.buckets, key).sortBy(key).saveAsTable(f"{self.name}_{part}")
-        rows = batch.select("row_id", "word", "reply", "entry").where(F.col("entry").isNotNull())
-        rows.write.mode("append").format("parquet").option("compression", "zstd").option("path", f"{self.folder}/rows").saveAsTable(f"{self.name}_rows")
-        self.filled = True
-
-
-def repeated_rows(rows: DataFrame, specs: DataFrame, slices: int = 2, rules: HistoryRules = HistoryRules()) -> DataFrame:
-    """Feed all rows through the index in arrival order, in ``slices`` batches; row_id of every repeated row."""
+        pairs = materialise(self.candidates(batch), "pairs")
+        own = self._part("entries", [batch.stage])
+        near = self.stored_texts(batch, pairs)
+        mine = own.select(F.col("entry").alias("e"), "word", "reply")
+        near = mine.join(self._probing(near, "entry_p"), F.col("e") == F.col("entry_p")).select("entry_p", "word", "reply", "word_s", "reply_s", "a0", "r0")
+        near = python_stage(near, _verify(self.rules.max_words), "entry_p bigint, a0 bigint, r0 bigint").unionByName(own.where("several").select(F.col("entry").alias("entry_p"), "a0", "r0"))
+        near = near.groupBy(F.col("entry_p").alias("entry")).agg(F.min(F.struct("a0", "r0")).alias("n"))
+        same = self.first_arrivals(batch).select("key", "mark", F.struct("a0", "r0").alias("s"))
+        earlier = lambda c: F.coalesce((F.col("arrived") > F.col(f"{c}.a0")) | ((F.col("arrived") == F.col(f"{c}.a0")) & (F.col("row_id") > F.col(f"{c}.r0"))), F.lit(False))
+        rows = batch.rows.join(same, ["key", "mark"], "left").where(F.col("entry").isNotNull() | earlier("s"))
+        return rows.join(near, "entry", "left").where(earlier("s") | earlier("n")).select("row_id")
+
+    def append(self, batch: Batch) -> bool:
+        """Commit the prepared batch; False where the index has a batch of this id already."""
+        self.refresh()
+        if batch.id in self.committed:
+            return False
+        self._line("manifest", json.dumps({"batch": batch.id, "stage": batch.stage}))
+        self.committed[batch.id] = batch.stage
+        return True
+
+    def discard(self, batch: Batch) -> None:
+        """Delete what a batch staged that is not to be appended."""
+        if batch.stage not in self.committed.values():
+            for part in self.TABLES:
+                self.spark.sql(f"ALTER TABLE {self.name}_{part} DROP IF EXISTS PARTITION (stage = '{batch.stage}')")
+                remove_folder(self.spark, f"{self.folder}/{part}/stage={batch.stage}")
+
+
+def repeated_rows(rows: DataFrame, specs: DataFrame, slices: int = 4, rules: HistoryRules = HistoryRules()) -> DataFrame:
+    """Feed all rows through an index of their own in arrival order, in ``slices`` batches; row_id of every repeated row."""
     index = HistoryIndex(rows.sparkSession, rules)
     at = [k / slices for k in range(1, slices)]
     micros = F.unix_micros("ingested_at")
@@ -258,11 +403,11 @@ def repeated_rows(rows: DataFrame, specs: DataFrame, slices: int = 2, rules: His
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
         part = rows if lo is None else rows.where(micros > lo)
         batch = index.prepare(part if hi is None else part.where(micros <= hi), specs)
-        cases = index.check(batch)
-        if hi is not None:
-            cases = materialise(cases, "repeated")
-            index.append(batch)
+        cases = materialise(index.check(batch), "repeated")
+        index.append(batch)
         found = cases if found is None else found.unionByName(cases)
+    index.close()
+    remove_folder(index.spark, index.folder)
     return found
 
 
