@@ -34,9 +34,10 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -159,15 +160,23 @@ def _normal(zones: int):
     return run
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
 def _spread(zones: int, max_words: int):
     """Segments of hot lists together with each key of the response."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys = [reply_keys(r.split(" "), zones, max_words) for r in pdf["reply"]]
-            out = pdf.drop(columns="reply")
-            out["keys"] = [[_number(f"{k} {x}") for x in own] for k, own in zip(pdf["key"], keys, strict=True)]
-            yield out.drop(columns="key")
+            keys = {r: np.array(reply_keys(r.split(" "), zones, max_words), np.int64).view(np.uint64) for r in pdf["reply"].unique()}
+            own = pdf["key"].to_numpy(np.int64).view(np.uint64)
+            out = pdf.drop(columns=["reply", "key"])
+            out["keys"] = [_mix(keys[r] ^ _mix(k)).view(np.int64) for k, r in zip(own, pdf["reply"], strict=True)]
+            yield out
 
     return run
 
@@ -216,11 +225,12 @@ def _verify(max_words: int):
 
 @dataclass(frozen=True)
 class Batch:
-    """A staged batch: its name in the index's tables, its id, and its rows in slim form (row_id, arrived, key, mark, entry)."""
+    """A staged batch: its name in the index's tables, its id, its rows in slim form (row_id, arrived, key, mark, entry), and which of the segments it probes are hot."""
 
     stage: str
     id: str
     rows: DataFrame
+    hot: DataFrame | None = None
 
 
 class HistoryIndex:
@@ -313,12 +323,13 @@ class HistoryIndex:
         stored = entries.select(F.explode(F.slice("probes", F.col("own") + 1, F.lit(2))).alias("key"), "entry", "a0", "r0", "zones", "reply")
         self._stage("counts", stored.groupBy("key").agg(F.count("*").alias("n")), stage)
         batch = Batch(stage, batch_id, full.select("row_id", "arrived", "key", "mark", "entry"))
-        if (hot := self._hot(batch, stored.select("key").distinct())) is None:
+        hot = self._hot(batch, entries.select(F.explode("probes").alias("key")).distinct())
+        if hot is None:
             self._stage("postings", stored, stage)
         else:
             spread = python_stage(stored.join(hot, "key", "left_semi"), _spread(rules.zones, rules.max_words), "entry bigint, a0 bigint, r0 bigint, zones bigint, keys array<bigint>")
             self._stage("postings", stored.drop("reply").join(hot, "key", "left_anti").unionByName(spread.withColumn("key", F.explode("keys")).drop("keys")), stage)
-        return batch
+        return replace(batch, hot=hot)
 
     def _hot(self, batch: Batch, keys: DataFrame) -> DataFrame | None:
         """Those of the segments that have more than ``hot`` entries by now; None where there are none."""
@@ -342,9 +353,9 @@ class HistoryIndex:
         own = self._part("entries", [batch.stage])
         probes = own.select(F.explode("probes").alias("k"), F.col("entry").alias("entry_p"), "last", F.col("zones").alias("zones_p"), "reply")
         every = probes.drop("reply")
-        if (hot := self._hot(batch, probes.select(F.col("k").alias("key")).distinct())) is not None:
+        if batch.hot is not None:
             spread = python_stage(
-                probes.withColumnRenamed("k", "key").join(hot, "key", "left_semi"), _spread(rules.zones, rules.max_words), "entry_p bigint, last bigint, zones_p bigint, keys array<bigint>"
+                probes.withColumnRenamed("k", "key").join(batch.hot, "key", "left_semi"), _spread(rules.zones, rules.max_words), "entry_p bigint, last bigint, zones_p bigint, keys array<bigint>"
             )
             every = every.unionByName(spread.select(F.explode("keys").alias("k"), "entry_p", "last", "zones_p"))
         width = 60 // rules.zones
