@@ -7,9 +7,9 @@ SCHEMA = "seed_key bigint, term string, text string, slug string, split string,
 TEXT = "a kind of harbour found behind the chapel, ancient in shape, which a scholar inspected for its hollow"
 
 
-def pairs(spark, rows):
+def pairs(spark, rows, params=c.CrossSplit()):
     df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
-    return {(r["seed_key_t"], r["seed_key_h"]) for r in c.overlaps(df).collect()}
+    return {(r["seed_key_t"], r["seed_key_h"]) for r in c.overlaps(df, params).collect()}
 
 
 def test_cases(spark):
@@ -32,31 +32,75 @@ def test_empty(spark):
     assert pairs(spark, [(1, "a", "b", "s", "train")]) == set()
 
 
-def test_against_brute_force(spark):
-    rng = random.Random(4)
-    vocab = [f"w{i}" for i in range(60)]
+def made(rng, vocab, heads, n, lengths):
     rows = []
-    for k in range(150):
-        head = "".join(rng.choice("abcde") for _ in range(rng.randint(3, 12)))
-        text = [rng.choice(vocab) for _ in range(rng.randint(6, 20))]
+    for _ in range(n):
+        head = heads(rng)
+        text = [rng.choice(vocab) for _ in range(rng.randint(*lengths))]
         for _ in range(3):
             h, t = list(head), list(text)
             for _ in range(rng.randrange(2)):
                 i = rng.randrange(len(h))
                 h[i : i + 1] = rng.choice([[], [h[i], "z"], ["y"]])
-            for _ in range(rng.randrange(4)):
-                t[rng.randrange(len(t))] = rng.choice(vocab)
+            for _ in range(rng.randrange(5)):
+                i = rng.randrange(len(t) + 1)
+                t[i : i + rng.randrange(2)] = rng.choice([[], [rng.choice(vocab)]])
             rows.append((len(rows), "".join(h), " ".join(t), "s", rng.choice(["train", "val"])))
-    p = c.CrossSplit()
+    return rows
+
+
+def brute(rows, p):
     want = set()
-    for a in rows:
-        for b in rows:
-            if a[4] == "train" and b[4] == "val" and squash(a[1]) and squash(b[1]) and one_slip(squash(a[1]), squash(b[1])):
-                x, y = plain_words(a[2]), plain_words(b[2])
-                if word_distance(x, y, p.max_words) <= min(p.max_words, max(1, min(len(a[2]), len(b[2])) // 12)):
-                    want.add((a[0], b[0]))
-    got = pairs(spark, rows)
-    assert got <= want and len(want - got) <= 0.02 * len(want)  # the radius may lose pairs of very short texts
+    forms = [(r[0], r[4], squash(r[1]), plain_words(r[2])) for r in rows]
+    for i, si, hi, wi in forms:
+        for j, sj, hj, wj in forms:
+            if si == "train" and sj == "val" and hi and hj and wi and wj and one_slip(hi, hj):
+                most = p.allowed(min(len(wi), len(wj)))
+                if word_distance(wi, wj, most) <= most:
+                    want.add((i, j))
+    return want
+
+
+def test_against_brute_force(spark):
+    """Nothing within the limits is lost, whatever the lengths and however many meet under one key."""
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(60)]
+    anything = lambda r: "".join(r.choice("abcde") for _ in range(r.randint(3, 12)))
+    rows = made(rng, vocab, anything, 120, (1, 24))
+    few = made(rng, vocab[:25], lambda r: r.choice(["harbour", "harbours", "garden"]), 60, (1, 14))
+    rows += [(r[0] + len(rows), *r[1:]) for r in few]
+    want = brute(rows, c.CrossSplit())
+    assert len(want) > 100
+    assert pairs(spark, rows) == want
+    assert pairs(spark, rows, c.CrossSplit(hot=0)) == want
+
+
+def test_keys_are_shared_within_the_limit():
+    rng = random.Random(7)
+    p = c.CrossSplit()
+    for _ in range(4000):
+        a = [rng.choice("pqrstuvwxyz") * rng.randint(1, 4) for _ in range(rng.randint(1, 20))]
+        b = list(a)
+        for _ in range(p.allowed(len(a))):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randrange(2)] = rng.choice([[], ["new"]])
+        if b and p.allowed(min(len(a), len(b))) >= word_distance(a, b, 3):
+            x, y = c.text_blocks([a, b])
+            for size in (1, 2):
+                assert c.text_keys(a, x, p.max_words, size) & c.text_keys(b, y, p.max_words, size)
+
+
+def test_hot_headword_and_copies_stay_small(spark):
+    """Many senses of one headword, and a group of copies, which are counted as one class and not expanded."""
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(3000)]
+    rows = [(k, "harbour", " ".join(rng.choice(vocab) for _ in range(rng.randint(5, 17))), f"f{k % 3}", "train" if k % 4 else "val") for k in range(10_000)]
+    rows += [(20_000 + k, "harbour", TEXT, f"f{k % 3}", "train" if k % 4 else "val") for k in range(8000)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
+    got = {(r["slug_h"], r["slug_t"]): (r["pairs"], r["held_entries"], r["train_entries"]) for r in c.overlap_counts(df).collect()}
+    assert sum(x[0] for x in got.values()) >= 2000 * 6000 and len(got) == 9
+    base, classes = c._classes(df)
+    assert classes.count() <= 10_002
 
 
 def test_latest_build_counts(spark):
