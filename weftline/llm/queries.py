@@ -9,7 +9,7 @@ from weftline.llm.mixing import p7_documents, p7_mixed, p7_shares
 from weftline.llm.packing import p6_fill, p6_packed
 from weftline.llm.pairs import p5_found
 from weftline.llm.scans import p4_found, p4_text
-from weftline.llm.spans import p8_found, p8_shared
+from weftline.llm.spans import p8_found, p8_shared, p8_spans
 
 QUERIES = {
     "p1_found": p1_found,
@@ -27,6 +27,7 @@ QUERIES = {
     "p7_mixed": p7_mixed,
     "p8_found": p8_found,
     "p8_shared": p8_shared,
+    "p8_spans": p8_spans,
 }
 
 SQL: dict[str, str] = {}

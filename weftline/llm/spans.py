@@ -4,17 +4,20 @@ Which suffixes: of every ``min_chars - gram + 1`` successive positions, the one
 The choice depends on those characters only, so two texts with ``min_chars`` in common share an anchor inside the common
 stretch; the suffixes at the anchors are all that is needed, about one in seventy.
 
-Partitioning: suffixes are shuffled by their first ``gram`` characters. A prefix found in one document only is dropped, and so is a
-prefix whose suffixes all continue the same text from the anchor before (the repeat is then not left-maximal there; the anchor
-before reports it). A prefix with more than ``group`` suffixes is split by longer prefixes: for a few depths, suffixes are grouped
-by that many characters to the right and the number to the left that a stretch of ``min_chars`` then needs at least. What is still
-larger holds texts that really agree; it is dealt out to chunks, one group for each pair of chunks. So every group fits into memory.
-
-Each group is a subtree: sorted suffixes, their longest common prefixes, and the internal nodes from them. At a node of depth d two
-suffixes of different children form a case if they agree in ``min_chars - d`` characters before the anchor too.
-
-Exact copies met by one task become one document and are put back at the end. Documents with null text or fewer than ``min_chars``
-characters have no cases; a stretch repeated within one document only is none. Documents are told apart by ``doc_id``.
+Partitioning: suffixes are grouped by their first ``gram`` characters. What a prefix's suffixes have in all is aggregated before the shuffle. A
+prefix found in one document only is dropped, and for pairs so is a prefix whose suffixes all continue the same text from the
+anchor before (the repeat is then not left-maximal there; the anchor before reports it). Each prefix of up to ``group`` suffixes is a subtree: sorted
+suffixes, their longest common prefixes, and the internal nodes from them. At a node of depth d two suffixes of different
+children form a case if they agree in ``min_chars - d`` characters before the anchor too.
+
+A prefix with more suffixes holds boilerplate. Its suffixes are first collapsed into contexts (all characters around the anchor that matter);
+the documents of a context are a class. Each context gives its ``min_chars`` long windows around the anchor as keys, and the
+documents of a key are a class: exactly what a node of the subtree tells, found by hashing. So no large prefix is sorted in one
+task, and a stretch that n documents have costs n rows, not n * n.
+
+``shared_links`` gives pairs between representatives, classes and exact copies; ``shared_pairs`` expands them, block by block, for who needs
+each pair. Exact copies met by one task become one document and are put back at the end. Documents with null text or fewer than
+``min_chars`` characters have no cases; a stretch repeated within one document only is none. Documents are told apart by ``doc_id``.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.session import materialise, table
+from weftline.functions.session import materialise, python_stage, table
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -40,7 +43,6 @@ class SpanRules:
     min_chars: int = 200
     gram: int = 64
     group: int = 2000
-    depths: int = 5
 
     @property
     def window(self) -> int:
@@ -209,17 +211,17 @@ def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[dict[str, list]]:
 
 
 def _subtrees(rules: SpanRules, cover: bool) -> Callable:
-    columns = ["doc_id", "lo", "hi"] if cover else ["a", "b"]
+    columns = ["id", "lo", "hi"] if cover else ["a", "b"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
         for g in _groups(batches):
-            order = sorted(range(len(g["doc_id"])), key=g["right"].__getitem__)
-            docs, rights, lefts, mark = ([g[c][i] for i in order] for c in ("doc_id", "right", "left", "at" if cover else "before"))
+            order = sorted(range(len(g["id"])), key=g["right"].__getitem__)
+            ids, docs, rights, lefts, mark = ([g[c][i] for i in order] for c in ("id", "own", "right", "left", "mark"))
             if cover:
-                rows += [(docs[i], mark[i] - x, mark[i] + y) for i, (x, y) in enumerate(tree_cover(docs, rights, lefts, rules.min_chars)) if y]
+                rows += [(ids[i], mark[i] - x, mark[i] + y) for i, (x, y) in enumerate(tree_cover(docs, rights, lefts, rules.min_chars)) if y]
             else:
-                rows += tree_pairs(docs, rights, lefts, mark, rules.min_chars)
+                rows += tree_pairs(ids, rights, lefts, mark, rules.min_chars)
             if len(rows) > 50_000:
                 yield pd.DataFrame(rows, columns=columns)
                 rows = []
@@ -229,69 +231,145 @@ def _subtrees(rules: SpanRules, cover: bool) -> Callable:
     return run
 
 
+def _trees(suffixes: DataFrame, rules: SpanRules, cover: bool) -> DataFrame:
+    """suffixes: unit, id (given back), own (what tells documents apart), right, left, mark (place for cover, else the hash since the anchor before)."""
+    schema = "id bigint, lo bigint, hi bigint" if cover else "a bigint, b bigint"
+    return python_stage(suffixes.select("unit", "id", "own", "right", "left", "mark").repartition("unit").sortWithinPartitions("unit"), _subtrees(rules, cover), schema)
+
+
 def _suffixes(documents: DataFrame, rules: SpanRules, maximal: bool) -> tuple[DataFrame, DataFrame]:
-    """Suffixes whose prefix several documents have, and the exact copies (doc_id, of)."""
+    """Suffixes whose prefix several documents have, with n, the number of these, and the exact copies (doc_id, of)."""
     long = documents.select("doc_id", "text").where(F.length("text") >= rules.min_chars)
-    found = long.mapInPandas(_anchors(rules), "doc_id bigint, prefix bigint, at int, before bigint")
-    same = Window.partitionBy("prefix")
-    shared = F.min("doc_id").over(same) < F.max("doc_id").over(same)
+    found = materialise(python_stage(long, _anchors(rules), "doc_id bigint, prefix bigint, at int, before bigint"), "anchors")
+    placed = found.where("at >= 0")
+    shared = placed.groupBy("prefix").agg(*(f(c).alias(f"{n}_{c}") for c in ("doc_id", "before") for f, n in ((F.min, "least"), (F.max, "most"))), F.count("*").alias("n"))
+    shared = shared.where("least_doc_id < most_doc_id")
     if maximal:
-        shared = shared & ((F.min("before").over(same) != F.max("before").over(same)) | (F.col("before") == 0))
-    found = found.select("*", ((F.col("at") < 0) | shared).alias("keep"), F.count("*").over(same).alias("n")).where("keep").drop("keep")
-    found = materialise(found, "suffixes")
+        shared = shared.where("least_before <> most_before OR least_before = 0")
+    placed = placed.join(shared.select("prefix", "n"), "prefix")
     copies = found.where("at < 0").select("doc_id", F.col("before").alias("of"))
     wide = rules.min_chars
-    text = found.where("at >= 0").join(long, "doc_id")
+    text = placed.join(long, "doc_id")
     right = F.substring("text", F.col("at") + 1, F.lit(wide))
     left = F.substring("text", F.greatest(F.col("at") + 1 - wide, F.lit(1)), F.least(F.col("at"), F.lit(wide)))
-    return text.select("doc_id", "prefix", "at", "before", "n", right.alias("right"), left.alias("left")), copies
+    return materialise(text.select("doc_id", "prefix", "at", "before", "n", right.alias("right"), left.alias("left")), "suffixes"), copies
+
+
+@dataclass(frozen=True)
+class _Contexts:
+    """The large prefixes by context: members (ctx, doc_id, at); contexts (ctx, prefix, right, left, least and greatest document d0 and d1, several)."""
+
+    members: DataFrame
+    contexts: DataFrame
+
+
+def _contexts(suffixes: DataFrame, rules: SpanRules, left: int) -> _Contexts | None:
+    large = suffixes.where(F.col("n") > rules.group)
+    if large.isEmpty():
+        return None
+    large = large.withColumn("left", F.when(F.length("left") > left, F.substring("left", -left, left)).otherwise(F.col("left")) if left else F.lit(""))
+    large = large.withColumn("ctx", F.xxhash64("prefix", F.length("left"), "left", "right"))
+    each = large.groupBy("ctx").agg(F.first("prefix").alias("prefix"), F.first("right").alias("right"), F.first("left").alias("left"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
+    return _Contexts(large.select("ctx", "doc_id", "at"), materialise(each, "contexts").withColumn("several", F.col("d0") < F.col("d1")))
+
+
+def _windows(contexts: DataFrame, rules: SpanRules) -> DataFrame:
+    """ctx and key (a hash of the characters) of each window of min_chars that holds the context's anchor whole, and depth, how much of it is right of the anchor's start."""
+    n = rules.min_chars
+    depths = F.filter(F.sequence(F.lit(rules.gram), F.lit(n)), lambda d: (d <= F.length("right")) & (F.lit(n) - d <= F.length("left")))
+    each = contexts.withColumn("depth", F.explode(depths))
+    window = F.concat(F.expr(f"right(left, {n} - depth)"), F.expr("left(right, depth)"))
+    return each.select("ctx", "d0", "d1", F.xxhash64("prefix", "depth", window).alias("key"), "depth")
 
 
-def _units(suffixes: DataFrame, rules: SpanRules) -> DataFrame:
-    """Suffixes with the group they are compared in; every two that can form a case meet in some group of bounded size."""
-    small = suffixes.where(F.col("n") <= rules.group).withColumn("unit", F.col("prefix").cast("string"))
-    step = -(-(rules.min_chars - rules.gram + 1) // rules.depths)
-    levels = []
-    for d in range(rules.gram, rules.min_chars + 1, step):
-        need = max(0, rules.min_chars - (d + step - 1))
-        key = F.md5(F.concat(F.substring("right", 1, d), F.lit("\x00"), F.substring("left", -need, need) if need else F.lit("")))
-        levels.append(F.when((F.length("right") >= d) & (F.length("left") >= need), F.concat(F.lit(f"{d}."), key)))
-    large = suffixes.where(F.col("n") > rules.group).withColumn("unit", F.explode(F.array_compact(F.array(*levels))))
-    same = Window.partitionBy("unit")
-    large = large.withColumn("parts", F.ceil(F.count("*").over(same) / rules.group)).withColumn("several", F.min("doc_id").over(same) < F.max("doc_id").over(same)).where("several").drop("several")
-    chunk = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("parts").cast("int") - 1), lambda j: F.concat_ws(".", "unit", F.least(j.cast("bigint"), chunk), F.greatest(j.cast("bigint"), chunk)))
-    large = large.withColumn("unit", F.explode(pair)).drop("parts")
-    return small.unionByName(large)
+@dataclass(frozen=True)
+class Links:
+    """Who shares a stretch, without expanding groups: ``pairs`` (a, b) of documents; ``classes`` (cls, doc_id) all of whose documents share one stretch; ``copies`` (doc_id, of), where a copy shares all that ``of`` shares."""
+
+    pairs: DataFrame
+    classes: DataFrame
+    copies: DataFrame
+
 
+def _distinct_classes(members: DataFrame) -> DataFrame:
+    """Of the classes (cls, doc_id) with the same documents one, and none of a single document. Members of a class are summed up where they are before the shuffle."""
+    members = materialise(members.distinct(), "members")
+    signs = members.groupBy("cls").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s"), F.min("doc_id").alias("d0"))
+    kept = signs.where("n > 1").groupBy("n", "s", "d0").agg(F.min("cls").alias("cls"))
+    return members.join(kept.select("cls"), "cls", "left_semi")
 
-def _in_trees(suffixes: DataFrame, rules: SpanRules, cover: bool, schema: str) -> DataFrame:
-    columns = ["unit", "doc_id", "right", "left", "at" if cover else "before"]
-    return _units(suffixes, rules).select(columns).repartition("unit").sortWithinPartitions("unit").mapInPandas(_subtrees(rules, cover), schema)
+
+def shared_links(documents: DataFrame, rules: SpanRules = SpanRules()) -> Links:
+    """All documents with a stretch of ``min_chars`` in common, as pairs, classes and copies."""
+    suffixes, copies = _suffixes(documents, rules, maximal=True)
+    small = suffixes.where(F.col("n") <= rules.group).select(F.col("prefix").alias("unit"), F.col("doc_id").alias("id"), F.col("doc_id").alias("own"), "right", "left", F.col("before").alias("mark"))
+    pairs = materialise(_trees(small, rules, False).distinct(), "pairs")
+    large = _contexts(suffixes, rules, rules.min_chars - rules.gram)
+    if large is None:
+        return Links(pairs, documents.sparkSession.createDataFrame([], "cls bigint, doc_id bigint"), copies)
+    whole = large.contexts.where(F.col("several") & (F.length("left") + F.length("right") >= rules.min_chars)).select(F.col("ctx").alias("cls"), "ctx")
+    keys = materialise(_windows(large.contexts, rules).select("ctx", F.col("key").alias("cls"), "d0", "d1"), "windows")
+    met = keys.groupBy("cls").agg(F.min("d0").alias("d0"), F.max("d1").alias("d1"), F.count("*").alias("n")).where("d0 < d1 AND n > 1").select("cls")
+    classes = whole.unionByName(keys.join(met, "cls", "left_semi").select("cls", "ctx"))
+    members = classes.join(large.members.select("ctx", "doc_id").distinct(), "ctx").select("cls", "doc_id")
+    return Links(pairs, materialise(_distinct_classes(members), "classes"), copies)
+
+
+def expanded(members: DataFrame, block: int = 2000) -> DataFrame:
+    """a < b of every two documents of a class (cls, doc_id). A class is cut into blocks of about ``block``; each two blocks meet in a group of their own."""
+    sizes = members.groupBy("cls").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    placed = members.join(sizes, "cls").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low = placed.where("own <= other").select("cls", F.col("own").alias("lo"), F.col("other").alias("hi"), F.col("doc_id").alias("x"))
+    high = placed.where("own >= other").select("cls", F.col("other").alias("lo"), F.col("own").alias("hi"), F.col("doc_id").alias("y"))
+    met = low.join(high, ["cls", "lo", "hi"]).where("(lo < hi AND x <> y) OR x < y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def shared_pairs(documents: DataFrame, rules: SpanRules = SpanRules()) -> DataFrame:
     """doc_id_a < doc_id_b of all documents with a stretch of ``min_chars`` in common."""
-    suffixes, copies = _suffixes(documents, rules, maximal=True)
-    pairs = materialise(_in_trees(suffixes, rules, False, "a bigint, b bigint").distinct(), "pairs")
-    members = copies.select(F.col("of").alias("rep"), "doc_id").unionByName(copies.select(F.col("of").alias("rep"), F.col("of").alias("doc_id")).distinct())
+    links = shared_links(documents, rules)
+    pairs = links.pairs.unionByName(expanded(links.classes))
+    members = links.copies.select(F.col("of").alias("rep"), "doc_id").unionByName(links.copies.select(F.col("of").alias("rep"), F.col("of").alias("doc_id")).distinct())
     for c in ("a", "b"):
         pairs = pairs.join(members.toDF(c, "copy"), c, "left").withColumn(c, F.coalesce("copy", c)).drop("copy")
-    own = members.toDF("rep", "a").join(members.toDF("rep", "b"), "rep").where("a < b").select("a", "b")
-    both = pairs.unionByName(own)
+    both = pairs.unionByName(expanded(members.toDF("cls", "doc_id")))
     return both.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()
 
 
+def _covered(documents: DataFrame, rules: SpanRules) -> tuple[DataFrame, DataFrame]:
+    """doc_id, lo, hi of stretches around anchors that another document has too, which together cover all shared stretches; and the exact copies."""
+    suffixes, copies = _suffixes(documents, rules, maximal=False)
+    small = suffixes.where(F.col("n") <= rules.group).select(F.col("prefix").alias("unit"), F.col("doc_id").alias("id"), F.col("doc_id").alias("own"), "right", "left", F.col("at").cast("bigint").alias("mark"))
+    spans = _trees(small, rules, True).withColumnRenamed("id", "doc_id")
+    large = _contexts(suffixes, rules, rules.min_chars)
+    if large is not None:
+        n = rules.min_chars
+        whole = large.contexts.where(F.col("several") & (F.length("left") + F.length("right") >= n)).select("ctx", (-F.length("left")).cast("bigint").alias("lo"), F.length("right").cast("bigint").alias("hi"))
+        keys = materialise(_windows(large.contexts, rules), "windows")
+        met = keys.groupBy("key").agg(F.min("d0").alias("d0"), F.max("d1").alias("d1")).where("d0 < d1").select("key")
+        far = keys.where(F.col("d0") == F.col("d1")).join(met, "key", "left_semi").groupBy("ctx").agg((F.min("depth") - n).cast("bigint").alias("lo"), F.max("depth").cast("bigint").alias("hi"))
+        rel = whole.unionByName(far)  # all windows of a context hold its anchor, so their union has no gap
+        spans = spans.unionByName(rel.join(large.members, "ctx").select("doc_id", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")))
+    return spans, copies
+
+
+def shared_stretches(documents: DataFrame, rules: SpanRules = SpanRules()) -> DataFrame:
+    """doc_id, start, length of each longest run of characters all of which lie in a stretch of ``min_chars`` that another document has too; an exact copy is one run."""
+    spans, copies = _covered(documents, rules)
+    whole = copies.select("doc_id").unionByName(copies.select(F.col("of").alias("doc_id"))).distinct()
+    order = Window.partitionBy("doc_id").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    runs = spans.join(whole, "doc_id", "left_anti").withColumn("new", F.coalesce((F.col("lo") > F.max("hi").over(order)).cast("int"), F.lit(1)))
+    runs = runs.withColumn("run", F.sum("new").over(Window.partitionBy("doc_id").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("doc_id", "run").agg(F.min("lo").alias("start"), F.max("hi").alias("end")).select("doc_id", "start", (F.col("end") - F.col("start")).alias("length"))
+    copied = documents.select("doc_id", F.length("text").cast("bigint").alias("length")).join(whole, "doc_id", "left_semi")
+    return runs.unionByName(copied.select("doc_id", F.lit(0).cast("bigint").alias("start"), "length"))
+
+
 def shared_share(documents: DataFrame, rules: SpanRules = SpanRules()) -> DataFrame:
     """doc_id, n_chars, and shared_chars: how many characters lie in a stretch of ``min_chars`` that another document has too."""
-    suffixes, copies = _suffixes(documents, rules, maximal=False)
-    spans = _in_trees(suffixes, rules, True, "doc_id bigint, lo bigint, hi bigint")
-    order = Window.partitionBy("doc_id").orderBy("lo", "hi")
-    reach = F.coalesce(F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    covered = spans.withColumn("more", F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", reach))).groupBy("doc_id").agg(F.sum("more").alias("shared"))
-    whole = copies.select("doc_id").unionByName(copies.select(F.col("of").alias("doc_id"))).distinct().withColumn("copied", F.lit(True))
-    out = documents.select("doc_id", F.length("text").cast("bigint").alias("n_chars")).join(covered, "doc_id", "left").join(whole, "doc_id", "left")
-    return out.select("doc_id", "n_chars", F.when(F.col("copied"), F.col("n_chars")).otherwise(F.coalesce("shared", F.lit(0))).alias("shared_chars"))
+    total = shared_stretches(documents, rules).groupBy("doc_id").agg(F.sum("length").alias("shared"))
+    out = documents.select("doc_id", F.length("text").cast("bigint").alias("n_chars")).join(total, "doc_id", "left")
+    return out.select("doc_id", "n_chars", F.coalesce("shared", F.lit(0)).cast("bigint").alias("shared_chars"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,3 +378,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_share(table(spark, sf_dir, "documents"))
+
+
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_stretches(table(spark, sf_dir, "documents"))
