@@ -242,11 +242,12 @@ def _suffixes(documents: DataFrame, rules: SpanRules, maximal: bool) -> tuple[Da
     long = documents.select("doc_id", "text").where(F.length("text") >= rules.min_chars)
     found = materialise(python_stage(long, _anchors(rules), "doc_id bigint, prefix bigint, at int, before bigint"), "anchors")
     placed = found.where("at >= 0")
-    shared = placed.groupBy("prefix").agg(*(f(c).alias(f"{n}_{c}") for c in ("doc_id", "before") for f, n in ((F.min, "least"), (F.max, "most"))), F.count("*").alias("n"))
-    shared = shared.where("least_doc_id < most_doc_id")
+    shared = placed.groupBy("prefix").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1").select("prefix")
+    placed = materialise(placed.join(shared, "prefix"), "shared")
+    sizes = placed.groupBy("prefix").agg(F.min("before").alias("b0"), F.max("before").alias("b1"), F.count("*").alias("n"))
     if maximal:
-        shared = shared.where("least_before <> most_before OR least_before = 0")
-    placed = placed.join(shared.select("prefix", "n"), "prefix")
+        sizes = sizes.where("b0 <> b1 OR b0 = 0")
+    placed = placed.join(sizes.select("prefix", "n"), "prefix")
     copies = found.where("at < 0").select("doc_id", F.col("before").alias("of"))
     wide = rules.min_chars
     text = placed.join(long, "doc_id")
