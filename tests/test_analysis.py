@@ -148,9 +148,9 @@ def test_pieces_and_utilisation_are_of_tokens(spark, tmp_path):
     heads = ["internationality", "standardization", "short"]
     spark.createDataFrame([("dictionary", {"word": w}) for w in heads], "seed_kind string, raw map<string, string>").write.parquet(f"{tmp_path}/seeds.parquet")
     merges, seqs = plain_bpe(texts, 7744)
-    r = P.QUERIES["rare_word_tokens"](spark, str(tmp_path)).first()
+    r = P.QUERIES["rare_word_pieces"](spark, str(tmp_path)).first()
     assert (r["words"], r["mean_pieces"]) == (2, (len(seqs[0]) + len(seqs[3])) / 2)
-    got = {r["source"]: (r["used"], r["utilisation"]) for r in P.QUERIES["vocabulary_utilisation_tokens"](spark, str(tmp_path)).collect()}
+    got = {r["source"]: (r["used"], r["utilisation"]) for r in P.QUERIES["vocabulary_utilisation"](spark, str(tmp_path)).collect()}
     used = {"a": len({i for s in seqs[:3] for i in s}), "b": len({i for s in seqs[3:] for i in s})}
     assert got == {k: (n, round(n / (256 + len(merges)), 9)) for k, n in used.items()}
 
@@ -185,5 +185,5 @@ def test_scores_of_the_whole_vector(spark, tmp_path):
     v[40], v[63] = 2.0, 1.9
     spark.createDataFrame([(1, "a", v)], "vec_id bigint, label string, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     run = lambda name: P.QUERIES[name](spark, str(tmp_path)).collect()
-    assert {r["position"] for r in run("gate_top2_whole")} == {r["expert"] for r in run("gate_load_whole")} == {40, 63}
-    assert run("nucleus_sizes_whole")[0]["kept"] == 2 and len(run("expert_load_whole")) == 64
+    assert {r["position"] for r in run("gate_top2")} == {r["expert"] for r in run("gate_load")} == {40, 63}
+    assert run("nucleus_sizes")[0]["kept"] == 2 and len(run("expert_load")) == 64

@@ -112,10 +112,10 @@ def test_whole_queries_lose_no_tokens(spark, tmp_path):
     at, long = dt.datetime(2025, 1, 1), " ".join(f"w{i}" for i in range(100))
     rows = [(i, "sft_dictionary_qa", "s", "Ask me", long, ("w", "x"), at) for i in range(4)] + [(9, "dpo_dictionary_pairs", "s", "Ask me", long + " more", ("w", "x"), at)]
     spark.createDataFrame(rows, "row_id bigint, task string, seed_id string, instruction string, response string, meta struct<word: string, style: string>, ingested_at timestamp").write.parquet(f"{tmp_path}/generated_rows.parquet")
-    r = P.QUERIES["sft_examples_whole"](spark, str(tmp_path)).first()
+    r = P.QUERIES["sft_examples"](spark, str(tmp_path)).first()
     assert (r["length"], r["supervised"]) == (5 * (2 + 100 + 3) + 1, 5 * 101 + 1)
-    assert P.QUERIES["sft_batches_whole"](spark, str(tmp_path)).first()["width"] == 5 * 105
-    r = P.QUERIES["preference_examples_whole"](spark, str(tmp_path)).first()
+    assert P.QUERIES["sft_batches"](spark, str(tmp_path)).first()["width"] == 5 * 105
+    r = P.QUERIES["preference_examples"](spark, str(tmp_path)).first()
     assert (r["shared_prefix"], r["chosen_length"], r["rejected_length"]) == (4, 105, 106)
 
 
@@ -124,5 +124,5 @@ def test_replies_with_escapes_come_through(spark, tmp_path):
 
     asks = {1: r"C:\temp\new", 2: r"\frac{1}{2} and \alpha", 3: 'say "hi"\n\tnow', 4: None, 5: "\\", 6: "plain"}
     spark.createDataFrame(list(asks.items()), "row_id bigint, instruction string").write.parquet(f"{tmp_path}/generated_rows.parquet")
-    got = {r["batch_id"]: (r["row_id"], r["instruction"], r["ok"]) for r in P.QUERIES["reply_parse_whole"](spark, str(tmp_path)).collect()}
+    got = {r["batch_id"]: (r["row_id"], r["instruction"], r["ok"]) for r in P.QUERIES["reply_parse"](spark, str(tmp_path)).collect()}
     assert got == {str(i): (None, None, False) if i == 5 else (i, a, True) for i, a in asks.items()}

@@ -11,6 +11,7 @@ from pyspark.sql.types import StringType
 
 WORD = r"[^\s\p{Z}]+"
 BLANK_ENDS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+# The banners around the text of public e-books.
 START_BANNER = r"(?is)^.*?\*\*\*\s*START OF (?:THE|THIS) PROJECT GUTENBERG EBOOK.*?\*\*\*"
 END_BANNER = r"(?is)\*\*\*\s*END OF (?:THE|THIS) PROJECT GUTENBERG EBOOK.*$"
 

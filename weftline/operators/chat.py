@@ -124,3 +124,24 @@ def collated_shuffle(examples: DataFrame, key: str, seed: int, epoch: int, size:
     b = shuffled_batches(examples.select(key, F.size("tokens").alias("_n")), key, seed, epoch, size)
     b = b.join(b.groupBy("batch_no").agg((F.max("_n") - 1).alias("width")), "batch_no").select(key, "batch_no", "width")
     return padded(examples.join(b, key))
+
+
+def preference_batches(kept: DataFrame, longest: int, seed: int, epoch: int, size: int) -> DataFrame:
+    """Pairs in shuffled batches, both sides encoded, cut and padded on their own. kept: row_id, instruction, chosen, rejected.
+
+    Returns row_id, batch_no and width, x and y of either side; a pair one of whose sides has nothing to learn is dropped.
+    """
+
+    def side(c: str) -> DataFrame:
+        turns = F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role"), F.col("instruction").alias("text")), F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role"), F.col(c).alias("text")))
+        m = kept.select(F.col("row_id").alias("conv_id"), F.explode(turns).alias("m")).select("conv_id", "m.*")
+        return truncated(masked(m), longest).select(F.col("conv_id").alias("row_id"), F.col("tokens").alias(f"tokens_{c}"), F.col("mask").alias(f"mask_{c}"))
+
+    both = side("chosen").join(side("rejected"), "row_id")
+    b = shuffled_batches(both.select("row_id", F.size("tokens_chosen").alias("_c"), F.size("tokens_rejected").alias("_r")), "row_id", seed, epoch, size)
+    widths = b.groupBy("batch_no").agg((F.max("_c") - 1).alias("width_chosen"), (F.max("_r") - 1).alias("width_rejected"))
+    full = both.join(b.join(widths, "batch_no").select("row_id", "batch_no", "width_chosen", "width_rejected"), "row_id")
+    for c in ("chosen", "rejected"):
+        full = padded(full.withColumnsRenamed({f"tokens_{c}": "tokens", f"mask_{c}": "mask", f"width_{c}": "width"}))
+        full = full.withColumnsRenamed({"x": f"x_{c}", "y": f"y_{c}", "width": f"width_{c}"}).drop("tokens", "mask")
+    return full

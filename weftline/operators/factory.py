@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions.session import materialise
 from weftline.functions.text import order_key, strip, words
@@ -14,7 +15,7 @@ from weftline.functions.text import order_key, strip, words
 REFUSAL_MARKERS = ("i'm sorry", "i am sorry", "i cannot", "i can't", "i can not", "as an ai", "i'm unable", "i am unable", "i apologize", "cannot assist")
 # Quotes that stand for straight ones.
 STRAIGHT_QUOTES = {"“": '"', "”": '"', "″": '"', "‘": "'", "’": "'", "′": "'"}
-# Frequent function words, for the language gate.
+# Frequent function words, for the language gate.
 FUNCTION_WORDS = {
     "en": ("the", "a", "of", "and", "to", "in", "is", "that", "which", "who", "with", "for"),
     "de": ("der", "die", "das", "und", "ist", "nicht", "ein", "eine", "den", "mit", "war", "aber"),
@@ -40,6 +41,8 @@ class Task:
 
     name: str
     style_axes: tuple[str, ...] = ("neutral",)
+    fields: tuple[str, ...] = ("instruction", "response")
+    meta_fields: tuple[str, ...] = ("word", "style")
     dedup_key: str = "meta.word + meta.style"
     seed_term_field: str = "word"
     seeds_per_prompt: int = 12
@@ -56,14 +59,30 @@ class Task:
         """From a parsed YAML or a table row; unknown keys are left out, missing ones take their defaults."""
         q = dict(d.get("quality") or {})
         known = {k: v for k, v in d.items() if k in cls.__dataclass_fields__ and k != "quality" and v is not None}
-        if "style_axes" in known:
-            known["style_axes"] = tuple(known["style_axes"])
+        if isinstance(schema := d.get("schema"), dict):
+            known["fields"] = tuple(k for k in schema if k != "meta")
+            known["meta_fields"] = tuple(schema["meta"]) if isinstance(schema.get("meta"), dict) else ()
+        for k in ("style_axes", "fields", "meta_fields"):
+            if k in known:
+                known[k] = tuple(known[k])
         return cls(**known, quality=Quality(**{k: v for k, v in q.items() if k in Quality.__dataclass_fields__}))
 
 
-def resolve(path: str) -> Column:
-    """A dotted path of a row; a first segment that is no column is looked for in ``meta``."""
-    return F.col(path) if "." in path else F.col(f"meta.{path}")
+def row_values(schema: T.StructType) -> Column:
+    """A map from each path of a row (``response``, ``meta.word``) to its value as text. A field of ``meta`` also goes by its bare name, unless a column has that."""
+    out: dict[str, Column] = {}
+
+    def add(prefix: str, fields: list[T.StructField]) -> None:
+        for f in fields:
+            if isinstance(f.dataType, T.StructType):
+                add(f"{prefix}{f.name}.", f.dataType.fields)
+            elif not isinstance(f.dataType, (T.ArrayType, T.MapType, T.BinaryType, T.VariantType)):
+                out[prefix + f.name] = F.col(".".join(f"`{p}`" for p in f"{prefix}{f.name}".split("."))).cast("string")
+
+    add("", schema.fields)
+    for name in [k for k in out if k.startswith("meta.")]:
+        out.setdefault(name.removeprefix("meta."), out[name])
+    return F.create_map(*(x for k, v in out.items() for x in (F.lit(k), v)))
 
 
 def signature(paths: list[Column]) -> Column:
@@ -88,19 +107,18 @@ def with_language(rows: DataFrame, text: str, alias: str = "lang") -> DataFrame:
 def reason(quality: dict[str, Column], term: Column) -> tuple[Column, Column, Column]:
     """Number of the first rule a row breaks (as ``_rule``), then from it the stable code and the reason; all null for a valid row.
 
-    The row has instruction, response and meta (word, style), ``_ask`` and ``_reply`` (trimmed), ``_low`` (response in lower case)
-    and ``_lang``; ``quality`` has a column for each setting.
+    The row has instruction, response and meta, ``_ask`` and ``_reply`` (trimmed), ``_low`` (response in lower case) and ``_lang``; ``_no_field`` and
+    ``_no_meta`` are the first of the task's required fields and meta keys without a value. ``quality`` has a column for each setting.
     """
     ask, reply, low, lang = (F.col(c) for c in ("_ask", "_reply", "_low", "_lang"))
     refusal = low.rlike("|".join(REFUSAL_MARKERS))  # no character of the phrases is special in a pattern
     wanted = F.lower(strip(term))
     lit = F.lit
     rules = [
-        (F.col("instruction").isNull(), "missing_field", lit("missing field 'instruction'")),
-        (F.col("response").isNull(), "missing_field", lit("missing field 'response'")),
-        (F.col("meta").isNull(), "meta_not_object", lit("meta is not an object")),
-        (F.coalesce(F.col("meta.word"), lit("")) == "", "missing_meta", lit("missing meta.word")),
-        (F.coalesce(F.col("meta.style"), lit("")) == "", "missing_meta", lit("missing meta.style")),
+        (F.col("_no_field").isNotNull(), "missing_field", F.concat(lit("missing field '"), "_no_field", lit("'"))),
+        (F.col("meta").isNull() & F.col("_has_meta"), "meta_not_object", lit("meta is not an object")),
+        (F.col("_no_meta").isNotNull(), "missing_meta", F.concat(lit("missing meta."), "_no_meta")),
+        (F.col("instruction").isNull() | F.col("response").isNull(), "not_strings", lit("instruction/response not strings")),
         (~F.length(ask).between(quality["min_instruction_chars"], quality["max_instruction_chars"]), "instruction_length", F.concat(lit("instruction length "), F.length(ask).cast("string"), lit(" out of bounds"))),
         (~F.length(reply).between(quality["min_response_chars"], quality["max_response_chars"]), "response_length", F.concat(lit("response length "), F.length(reply).cast("string"), lit(" out of bounds"))),
         (quality["forbid_refusals"] & refusal, "refusal", lit("response looks like a refusal")),
@@ -114,18 +132,32 @@ def reason(quality: dict[str, Column], term: Column) -> tuple[Column, Column, Co
 
 
 def validated(rows: DataFrame, specs: DataFrame) -> DataFrame:
-    """Rows with signature, reason_code and reason. specs is a fixed small table of tasks and is broadcast."""
-    spec = specs.select(F.col("name").alias("task"), "dedup_key", F.col("quality").alias("_q"))
+    """Rows with signature, reason_code and reason.
+
+    specs: name, dedup_key, quality, and where given seed_term_field (the meta key of the grounding term), fields and meta_fields (what the
+    task's schema asks for; instruction, response, meta.word and meta.style by default). A dedup path may be any column or field of a
+    struct; one that the row lacks counts as ``none``.
+    """
+    given = lambda c, default: F.coalesce(F.col(c), default).alias(f"_{c}") if c in specs.columns else default.alias(f"_{c}")
+    names = lambda xs: F.array(*map(F.lit, xs))
+    settings = given("seed_term_field", F.lit("word")), given("fields", names(Task.fields)), given("meta_fields", names(Task.meta_fields))
+    spec = specs.select(F.col("name").alias("task"), "dedup_key", F.col("quality").alias("_q"), *settings)
     full = rows.join(spec, "task")
     quality = {k: F.coalesce(F.col(f"_q.{k}"), F.lit(v)) if v is not None else F.col(f"_q.{k}") for k, v in Quality().__dict__.items()}
     full = with_language(full, "response", "_lang").withColumns({"_ask": strip(F.col("instruction")), "_reply": strip(F.col("response")), "_low": F.lower("response")})
-    rule, code, why = reason(quality, F.col("meta.word"))
-    known = {"meta.word": F.col("meta.word"), "meta.style": F.col("meta.style"), "word": F.col("meta.word"), "style": F.col("meta.style"), "instruction": F.col("instruction"), "response": F.col("response")}
-    values = F.create_map(*(x for k, v in known.items() for x in (F.lit(k), F.coalesce(v, F.lit("none")))))
-    paths = F.split("dedup_key", r"\s*\+\s*")
-    sig = F.array_join(F.transform(paths, lambda p: F.lower(strip(F.try_element_at(values, strip(p))))), "||")
-    out = full.withColumn("signature", sig).withColumn("_rule", rule).withColumn("reason_code", F.when(F.col("_rule").isNotNull(), code)).withColumn("reason", why)
-    return out.drop("_q", "dedup_key", "_rule", "_ask", "_reply", "_low", "_lang")
+    full = full.withColumn("_values", row_values(rows.schema))
+    at = lambda p: F.try_element_at(F.col("_values"), p)
+    paths = F.filter(F.transform(F.split("dedup_key", r"\+"), strip), lambda p: p != "")
+    sig = F.array_join(F.transform(paths, lambda p: F.lower(strip(F.coalesce(at(p), F.lit("none"))))), "||")
+    meta = lambda k: at(F.concat(F.lit("meta."), k))
+    full = full.withColumns({
+        "signature": sig, "_term": meta(F.col("_seed_term_field")), "_has_meta": F.size("_meta_fields") > 0,
+        "_no_field": F.try_element_at(F.filter("_fields", lambda f: at(f).isNull()), F.lit(1)),
+        "_no_meta": F.try_element_at(F.filter("_meta_fields", lambda k: F.coalesce(meta(k), F.lit("")) == ""), F.lit(1)),
+    })
+    rule, code, why = reason(quality, F.col("_term"))
+    out = full.withColumn("_rule", rule).withColumn("reason_code", F.when(F.col("_rule").isNotNull(), code)).withColumn("reason", why)
+    return out.drop("_q", "dedup_key", "_rule", "_ask", "_reply", "_low", "_lang", "_values", "_term", "_has_meta", "_no_field", "_no_meta", "_seed_term_field", "_fields", "_meta_fields")
 
 
 def dedup_valid(checked: DataFrame, history: DataFrame | None = None) -> DataFrame:
@@ -136,14 +168,15 @@ def dedup_valid(checked: DataFrame, history: DataFrame | None = None) -> DataFra
     """
     checked = materialise(checked, "checked")
     order = F.struct("ingested_at", "row_id")
-    first = checked.where("reason_code IS NULL").groupBy("task", "signature").agg(F.min(order).alias("_first"))
+    first = checked.where("reason_code IS NULL").groupBy("task", "signature").agg(F.min(order).alias("_first"), F.count("*").alias("_n"))
     if history is not None:
         known = history.select("task", "signature").distinct().withColumn("_known", F.lit(True))
         first = first.join(known, ["task", "signature"], "left")
     else:
         first = first.withColumn("_known", F.lit(None).cast("boolean"))
+    first = first.where("_n > 1 OR _known").drop("_n")  # signatures of one row need no partner
     out = checked.join(first, ["task", "signature"], "left")
-    again = F.col("reason_code").isNull() & (F.coalesce("_known", F.lit(False)) | (order != F.col("_first")))
+    again = F.col("reason_code").isNull() & (F.coalesce("_known", F.lit(False)) | F.coalesce(order != F.col("_first"), F.lit(False)))
     return (
         out.withColumn("reason", F.when(again, F.concat(F.lit("duplicate ("), "signature", F.lit(")"))).otherwise(F.col("reason")))
         .withColumn("reason_code", F.when(again, "duplicate").otherwise(F.col("reason_code")))
@@ -190,7 +223,9 @@ def render_prompts(batched: DataFrame, styles: Column, head: str = "Write one ob
     return out.withColumn("prompt", F.concat(F.lit(head), F.lit("\nStyle: "), "style", F.lit("\nItems ("), F.col("n_seeds").cast("string"), F.lit("):\n"), "items")).drop("items")
 
 
-def select_seeds(seeds: DataFrame, done: DataFrame, seed: int, n: int | None = None) -> DataFrame:
-    """Seeds whose id isn't done, in a reproducible order, the first n of them."""
-    left = seeds.join(done.select("id").distinct(), "id", "left_anti").orderBy(order_key(seed, F.col("id")), "id")
+def select_seeds(seeds: DataFrame, done: DataFrame, seed: int | None, n: int | None = None) -> DataFrame:
+    """Seeds whose id isn't done, in a reproducible order (with None as they come), the first n of them."""
+    left = seeds.join(done.select("id").distinct(), "id", "left_anti")
+    if seed is not None:
+        left = left.orderBy(order_key(seed, F.col("id")), "id")
     return left if n is None else left.limit(n)

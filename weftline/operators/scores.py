@@ -47,10 +47,10 @@ def accuracy(picked: DataFrame, by: str) -> DataFrame:
     return picked.rollup(by).agg(F.count("*").alias("items"), F.avg(F.col("correct").cast("double")).alias("accuracy"), F.grouping(by).alias("_g")).select(F.when(F.col("_g") == 1, "TOTAL").otherwise(F.col(by)).alias(by), "items", "accuracy")
 
 
-def stops(generations: DataFrame, end: Column, budget: int) -> DataFrame:
-    """Share of generations that hold the end mark, and the mean length before it (the budget where there is none). generations: tokens."""
+def stops(generations: DataFrame, end: Column, budget: int, by: list[str] = ()) -> DataFrame:
+    """Share of generations that hold the end mark, and the mean length before it (the budget where there is none), by some columns or over all. generations: tokens."""
     at = F.array_position(F.slice("tokens", 1, budget), end)
-    return generations.agg(F.count("*").alias("n"), F.avg((at > 0).cast("double")).alias("stop_rate"), F.avg(F.when(at > 0, at - 1).otherwise(budget)).alias("mean_length"))
+    return generations.groupBy(*by).agg(F.count("*").alias("n"), F.avg((at > 0).cast("double")).alias("stop_rate"), F.avg(F.when(at > 0, at - 1).otherwise(budget)).alias("mean_length"))
 
 
 def calibration(predictions: DataFrame, bins: int = 10) -> DataFrame:
@@ -106,3 +106,10 @@ def nucleus(scores: DataFrame, share: float, row: str = "vec_id") -> DataFrame:
     p = scores.withColumn("p", F.exp(F.col("score") - F.max("score").over(w))).withColumn("p", F.col("p") / F.sum("p").over(w))
     run = F.sum("p").over(w.orderBy(F.desc("p"), "position").rowsBetween(Window.unboundedPreceding, -1))
     return p.withColumn("before", F.coalesce(run, F.lit(0.0))).where(F.col("before") <= share).drop("before")
+
+
+def log_softmax_at(logits: Column, place: Column) -> Column:
+    """Logarithm of the softmax of an array at a place (from 0)."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+    return F.element_at(logits, (place + 1).cast("int")) - top - F.log(total)

@@ -107,13 +107,6 @@ def scaling_fit(spark, d):
     return R.power_law(p).select(F.round("a", 5).alias("a"), F.round("alpha", 5).alias("alpha"), F.round("c", 5).alias("c"), F.round("sse", 6).alias("sse"))
 
 
-@query("SELECT label, CAST(e.pos AS INTEGER) AS expert, round(avg(e.load), 6) AS load FROM (SELECT label, unnest(embedding[:8]) AS load, unnest(range(8)) AS pos FROM embeddings) e GROUP BY 1, 2")
-def expert_load(spark, d):
-    """Mean of the first eight numbers of each vector by label, as loads of experts by layer."""
-    e = table(spark, d, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, 8)).alias("expert", "load"))
-    return e.groupBy("label", "expert").agg(F.round(F.avg(F.col("load").cast("double")), 6).alias("load"))
-
-
 @query("""
 SELECT event_type AS backend, count(*) AS calls, CAST(sum(k) AS BIGINT) AS hit, round(sum((k * 0.07 + (100 + value - k) * 0.27 + value * 1.1) / 1e6), 9) AS usd, round(100.0 * sum(k) / greatest(1, sum(100 + value)), 6) AS hit_percent
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1""")
@@ -208,10 +201,7 @@ SELECT task, count(*) AS n, round(avg((k IS NOT NULL)::INT), 6) AS stop_rate, ro
 def stop_rate(spark, d):
     """How often, and after how many words, an end mark (here the word ``the``) comes within the budget, by task."""
     g = table(spark, d, "generated_rows").where("response IS NOT NULL").select("task", X.letters_words(F.col("response")).alias("tokens"))
-    out = None
-    for t in sorted(r["name"] for r in table(spark, d, "task_spec").select("name").collect()):  # five tasks
-        row = S.stops(g.where(F.col("task") == t), F.lit("the"), 32).withColumn("task", F.lit(t))
-        out = row if out is None else out.unionByName(row)
+    out = S.stops(g, F.lit("the"), 32, ["task"])
     return out.select("task", "n", F.round("stop_rate", 6).alias("stop_rate"), F.round("mean_length", 6).alias("mean_length"))
 
 
@@ -261,13 +251,15 @@ def token_windows(spark, d):
 
 
 _SPANS = f"WITH {_TOKENS}" + ", n AS (SELECT doc_id, source, len(words) AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS doc_no FROM t WHERE len(words) + 1 > 64), cnt AS (SELECT source, count(*) AS docs FROM n GROUP BY source), "
-_DRAWS = """wt AS (SELECT source, weight / (SELECT sum(weight) FROM source_weights WHERE source <> 'speeches') AS p FROM source_weights WHERE source <> 'speeches'), cum AS (SELECT source, sum(p) OVER (ORDER BY source) AS hi, row_number() OVER (ORDER BY source DESC) AS last FROM wt),
+_DRAWS = """wt AS (SELECT source, weight / (SELECT sum(weight) FROM source_weights WHERE source IN (SELECT lower(trim(source)) FROM documents WHERE text IS NOT NULL)) AS p FROM source_weights WHERE source IN (SELECT lower(trim(source)) FROM documents WHERE text IS NOT NULL)), cum AS (SELECT source, sum(p) OVER (ORDER BY source) AS hi, row_number() OVER (ORDER BY source DESC) AS last FROM wt),
 g AS (SELECT range // 8 AS step, range % 8 AS slot FROM range(1600)), u AS (SELECT step, slot, CAST('0x' || substr(sha1('7:' || step || ':' || slot), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM g),
 dr AS (SELECT step, slot, (SELECT min(source) FROM cum WHERE u.u < cum.hi OR cum.last = 1) AS source FROM u) """
 
 
 def _draws(spark, d):
-    return M.draws(table(spark, d, "source_weights").where("source <> 'speeches'"), 200, 8, 7)
+    """Only sources with documents take part."""
+    there = table(spark, d, "documents").where("text IS NOT NULL").select(C.source_name(F.col("source")).alias("source")).distinct()
+    return M.draws(table(spark, d, "source_weights").join(there, "source", "left_semi"), 200, 8, 7)
 
 
 @query("WITH " + _DRAWS + "SELECT CAST(step AS BIGINT) AS step, CAST(slot AS BIGINT) AS slot, source FROM dr")
@@ -331,26 +323,13 @@ def bpe_compression(spark, d):
     return K.compression(t, m, [v - 256 for v in VOCABULARIES])
 
 
-@query(r"SELECT source, count(DISTINCT b) AS used, round(count(DISTINCT b) / 256.0, 9) AS utilisation FROM (SELECT lower(trim(source)) AS source, unnest(regexp_extract_all(hex(encode(text)), '[0-9A-F]{2}')) AS b FROM documents) GROUP BY source")
-def vocabulary_utilisation(spark, d):
-    """Different ids used of the byte vocabulary, by source; ``vocabulary_utilisation_tokens`` has those of the trained one."""
-    b = table(spark, d, "documents").select(C.source_name(F.col("source")).alias("source"), F.explode(F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit("[0-9A-F]{2}"), F.lit(0))).alias("b"))
-    return b.groupBy("source").agg(F.countDistinct("b").alias("used")).withColumn("utilisation", F.round(F.col("used") / 256.0, 9))
-
-
-@query("SELECT count(*) AS words, round(avg(n), 6) AS mean_bytes FROM (SELECT octet_length(encode(word)) AS n FROM (SELECT DISTINCT raw['word'] AS word FROM seeds WHERE seed_kind = 'dictionary') WHERE regexp_full_match(word, '[a-zA-Z]+') AND length(word) >= 12 ORDER BY sha1('7:' || word), word LIMIT 20)")
-def rare_word_pieces(spark, d):
-    """Mean bytes (pieces before any merge) of twenty long headwords; ``rare_word_tokens`` has the pieces."""
-    return _rare_words(spark, d).agg(F.count("*").alias("words"), F.round(F.avg(F.octet_length("word")), 6).alias("mean_bytes"))
-
-
 def _rare_words(spark, d):
     w = table(spark, d, "seeds").where("seed_kind = 'dictionary'").select(F.col("raw")["word"].alias("word")).distinct()
     return w.where(F.col("word").rlike("^[a-zA-Z]+$") & (F.length("word") >= 12)).orderBy(X.order_key(7, F.col("word")), "word").limit(20)
 
 
 @query()
-def vocabulary_utilisation_tokens(spark, d):
+def vocabulary_utilisation(spark, d):
     """Different token ids used of the trained vocabulary, by source (iterative, so without SQL)."""
     docs = table(spark, d, "documents")
     _, m = _bpe(spark, d)
@@ -360,8 +339,8 @@ def vocabulary_utilisation_tokens(spark, d):
 
 
 @query()
-def rare_word_tokens(spark, d):
-    """Mean pieces of the twenty long headwords of ``rare_word_pieces`` under the trained merges (iterative, so without SQL)."""
+def rare_word_pieces(spark, d):
+    """Mean pieces of twenty long headwords (a sampled report) under the trained merges (iterative, so without SQL)."""
     _, m = _bpe(spark, d)
     pieces = K.encode_chunks(_rare_words(spark, d).select(F.col("word").alias("chunk"), F.lit(1).cast("bigint").alias("freq")), m)
     return pieces.agg(F.count("*").alias("words"), F.round(F.avg(F.size("ids")), 6).alias("mean_pieces"))
@@ -406,21 +385,11 @@ def next_batch_ids(spark, d):
     return out.select("task", F.concat(F.lit("run-"), "task").alias("run_id"), "next_index", F.concat("task", F.lit("_b"), F.lpad(F.col("next_index").cast("string"), 4, "0")).alias("next_batch"))
 
 
-_SCORES = "WITH s AS (SELECT vec_id, unnest(range(16)) AS position, unnest(embedding[:16])::DOUBLE * 8 AS score FROM embeddings), e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY vec_id)) AS x FROM s), p AS (SELECT *, x / sum(x) OVER (PARTITION BY vec_id) AS p FROM e) "
-
-
-_ALL_SCORES = _SCORES.replace("range(16)", "range(len(embedding))").replace("embedding[:16]", "embedding")
-
+_SCORES = "WITH s AS (SELECT vec_id, unnest(range(len(embedding))) AS position, unnest(embedding)::DOUBLE * 8 AS score FROM embeddings), e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY vec_id)) AS x FROM s), p AS (SELECT *, x / sum(x) OVER (PARTITION BY vec_id) AS p FROM e) "
 
-def _scores(spark, d, whole=False):
-    v = F.col("embedding") if whole else F.slice("embedding", 1, 16)
-    return table(spark, d, "embeddings").select("vec_id", F.posexplode(v).alias("position", "s")).select("vec_id", "position", (F.col("s").cast("double") * 8).alias("score"))
 
-
-@query(_SCORES + ", r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, position) AS rank FROM p) SELECT vec_id, CAST(position AS INTEGER) AS position, round(p, 6) AS p, round(p / sum(p) OVER (PARTITION BY vec_id), 6) AS gate FROM r WHERE rank <= 2")
-def gate_top2(spark, d):
-    """Softmax over the first sixteen scores, the two best with their renormalised gates; ``gate_top2_whole`` has all scores."""
-    return _top2(_scores(spark, d))
+def _scores(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("position", "s")).select("vec_id", "position", (F.col("s").cast("double") * 8).alias("score"))
 
 
 def _top2(scores):
@@ -428,43 +397,29 @@ def _top2(scores):
     return t.select("vec_id", "position", F.round("p", 6).alias("p"), F.round("gate", 6).alias("gate"))
 
 
-@query(_SCORES + ", r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, position) AS rank FROM p), k AS (SELECT position, count(*) AS n FROM r WHERE rank <= 2 GROUP BY 1) SELECT CAST(position AS INTEGER) AS expert, round(n / (2.0 * (SELECT count(*) FROM embeddings)), 9) AS load, CAST(sign(2.0 * (SELECT count(*) FROM embeddings) / 16 - n) AS INTEGER) AS bias_step FROM k")
-def gate_load(spark, d):
-    """Load of each expert under the two best gates, and the direction its bias is moved."""
-    t = S.softmax_top(_scores(spark, d), 2).groupBy(F.col("position").alias("expert")).agg(F.count("*").alias("n"))
-    total = table(spark, d, "embeddings").agg((2.0 * F.count("*")).alias("t"))
-    t = t.crossJoin(F.broadcast(total))  # one row
-    return t.select("expert", F.round(F.col("n") / F.col("t"), 9).alias("load"), F.signum(F.col("t") / 16 - F.col("n")).cast("int").alias("bias_step"))
-
-
-@query(_SCORES + ", r AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT vec_id, count(*) AS kept FROM r WHERE before <= 0.9 GROUP BY vec_id")
-def nucleus_sizes(spark, d):
-    return S.nucleus(_scores(spark, d), 0.9).groupBy("vec_id").agg(F.count("*").alias("kept"))
-
-
-@query(_ALL_SCORES + ", r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, position) AS rank FROM p) SELECT vec_id, CAST(position AS INTEGER) AS position, round(p, 6) AS p, round(p / sum(p) OVER (PARTITION BY vec_id), 6) AS gate FROM r WHERE rank <= 2")
-def gate_top2_whole(spark, d):
+@query(_SCORES + ", r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, position) AS rank FROM p) SELECT vec_id, CAST(position AS INTEGER) AS position, round(p, 6) AS p, round(p / sum(p) OVER (PARTITION BY vec_id), 6) AS gate FROM r WHERE rank <= 2")
+def gate_top2(spark, d):
     """Softmax over the whole vector."""
-    return _top2(_scores(spark, d, whole=True))
+    return _top2(_scores(spark, d))
 
 
-@query(_ALL_SCORES + ", r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, position) AS rank FROM p), k AS (SELECT position, count(*) AS n FROM r WHERE rank <= 2 GROUP BY 1) SELECT CAST(position AS INTEGER) AS expert, round(n / (2.0 * (SELECT count(*) FROM embeddings)), 9) AS load, CAST(sign(2.0 * (SELECT count(*) FROM embeddings) / (SELECT max(len(embedding)) FROM embeddings) - n) AS INTEGER) AS bias_step FROM k")
-def gate_load_whole(spark, d):
+@query(_SCORES + ", r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, position) AS rank FROM p), k AS (SELECT position, count(*) AS n FROM r WHERE rank <= 2 GROUP BY 1) SELECT CAST(position AS INTEGER) AS expert, round(n / (2.0 * (SELECT count(*) FROM embeddings)), 9) AS load, CAST(sign(2.0 * (SELECT count(*) FROM embeddings) / (SELECT max(len(embedding)) FROM embeddings) - n) AS INTEGER) AS bias_step FROM k")
+def gate_load(spark, d):
     """Load of each expert of the whole vector, against an even share of all of them."""
-    t = S.softmax_top(_scores(spark, d, whole=True), 2).groupBy(F.col("position").alias("expert")).agg(F.count("*").alias("n"))
+    t = S.softmax_top(_scores(spark, d), 2).groupBy(F.col("position").alias("expert")).agg(F.count("*").alias("n"))
     total = table(spark, d, "embeddings").agg((2.0 * F.count("*")).alias("t"), F.max(F.size("embedding")).alias("experts"))
     t = t.crossJoin(F.broadcast(total))  # one row
     return t.select("expert", F.round(F.col("n") / F.col("t"), 9).alias("load"), F.signum(F.col("t") / F.col("experts") - F.col("n")).cast("int").alias("bias_step"))
 
 
-@query(_ALL_SCORES + ", r AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT vec_id, count(*) AS kept FROM r WHERE before <= 0.9 GROUP BY vec_id")
-def nucleus_sizes_whole(spark, d):
+@query(_SCORES + ", r AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY vec_id ORDER BY p DESC, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p) SELECT vec_id, count(*) AS kept FROM r WHERE before <= 0.9 GROUP BY vec_id")
+def nucleus_sizes(spark, d):
     """Nucleus over the whole vector."""
-    return S.nucleus(_scores(spark, d, whole=True), 0.9).groupBy("vec_id").agg(F.count("*").alias("kept"))
+    return S.nucleus(_scores(spark, d), 0.9).groupBy("vec_id").agg(F.count("*").alias("kept"))
 
 
 @query("SELECT label, CAST(e.pos AS INTEGER) AS expert, round(avg(e.load), 6) AS load FROM (SELECT label, unnest(embedding) AS load, unnest(range(len(embedding))) AS pos FROM embeddings) e GROUP BY 1, 2")
-def expert_load_whole(spark, d):
+def expert_load(spark, d):
     """Mean of each number of the whole vectors by label."""
     e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("expert", "load"))
     return e.groupBy("label", "expert").agg(F.round(F.avg(F.col("load").cast("double")), 6).alias("load"))

@@ -167,18 +167,9 @@ def json_paths(spark, d):
 
 @query("""
 SELECT CAST(row_id AS VARCHAR) AS batch_id, CASE WHEN row_id % 5 = 0 THEN NULL ELSE row_id END AS row_id, CASE WHEN row_id % 5 = 0 THEN NULL ELSE translate(instruction, '“”‘’▁″′', '""''''' || ' "''') END AS instruction, row_id % 5 <> 0 AS ok
-FROM generated_rows WHERE NOT contains(instruction, chr(92))""")
+FROM generated_rows""")
 def reply_parse(spark, d):
-    """Each row wrapped as a model's reply with prose, fence, an item that is no object and trailing commas; every fifth can't be read.
-
-    Rows with a backslash or without instruction are left out, as in the SQL; ``reply_parse_whole`` has them.
-    """
-    return _replies(_rows(spark, d).where(~F.contains("instruction", F.lit("\\"))))
-
-
-@query()
-def reply_parse_whole(spark, d):
-    """All rows through the parser, with escapes and without instruction too (no SQL, tested on a fixture)."""
+    """Each row wrapped as a model's reply with prose, fence, an item that is no object and trailing commas; every fifth can't be read."""
     return _replies(_rows(spark, d))
 
 
@@ -198,7 +189,7 @@ def seed_batches(spark, d):
     """Seeds that have no row yet, shuffled by seed, in batches of twelve whose styles rotate."""
     seeds = table(spark, d, "seeds").where("seed_kind = 'dictionary'").select("id").distinct()
     done = _rows(spark, d).where("seed_id IS NOT NULL").select(F.col("seed_id").alias("id"))
-    left = G.select_seeds(seeds, done, 1337).withColumn("key", X.order_key(1337, F.col("id"))).withColumn("all", F.lit(0))
+    left = G.select_seeds(seeds, done, None).withColumn("key", X.order_key(1337, F.col("id"))).withColumn("all", F.lit(0))
     b = C.batches(left, ["key", "id"], ["all"], 12)
     style = F.element_at(F.array(*map(F.lit, ("formal", "casual", "kid-friendly"))), (F.pmod("batch_no", F.lit(3)) + 1).cast("int"))
     return b.select("id", "batch_no", style.alias("style"))
@@ -239,35 +230,17 @@ def chat_mask(spark, d):
     return m.select("conv_id", F.md5(F.array_join("tokens", " ")).alias("tokens"), F.array_join("mask", "").alias("mask"))
 
 
-@query(_MASKED + "SELECT conv_id, CAST(len(tokens[:24]) AS BIGINT) AS length, CAST(list_sum(mask[:24]) AS BIGINT) AS supervised FROM e WHERE list_sum(mask[:24]) > 0")
-def sft_examples(spark, d):
-    """Examples cut to 24 tokens, so only the heads; ``sft_examples_whole`` has them whole. Those without anything to learn are dropped."""
-    return _examples(spark, d, 24)
-
-
 def _examples(spark, d, longest):
     e = H.truncated(H.masked(H.pairs_from_rows(_rows(spark, d))), longest)
     return e.select("conv_id", F.size("tokens").cast("bigint").alias("length"), F.aggregate("mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("supervised"))
 
 
 @query(_MASKED + "SELECT conv_id, CAST(len(tokens[:1024]) AS BIGINT) AS length, CAST(list_sum(mask[:1024]) AS BIGINT) AS supervised FROM e WHERE list_sum(mask[:1024]) > 0")
-def sft_examples_whole(spark, d):
+def sft_examples(spark, d):
     """Examples of whole conversations: the limit of 1024 tokens (128 a pair, for eight pairs) only guards against outliers."""
     return _examples(spark, d, CONVERSATION)
 
 
-@query(
-    _MASKED
-    + """, c AS (SELECT conv_id, tokens[:64] AS t, mask[:64] AS m, (row_number() OVER (ORDER BY sha1('1337:' || conv_id), conv_id) - 1) // 8 AS batch_no FROM e WHERE list_sum(mask[:64]) > 0),
-b AS (SELECT *, max(len(t)) OVER (PARTITION BY batch_no) - 1 AS width FROM c)
-SELECT conv_id, batch_no, CAST(width AS BIGINT) AS width, md5(array_to_string(t[:len(t) - 1] || list_transform(range(width - len(t) + 1), lambda z: '<|endoftext|>'), ' ')) AS x,
-  md5(array_to_string(list_transform(range(1, len(t)), lambda i: CASE WHEN m[i + 1] = 1 THEN t[i + 1] ELSE '-1' END) || list_transform(range(width - len(t) + 1), lambda z: '-1'), ' ')) AS y FROM b"""
-)
-def sft_batches(spark, d):
-    """Seeded batches of eight, padded to the longest of each, targets shifted by one; cut to 64 tokens, ``sft_batches_whole`` has them whole."""
-    return _batches(spark, d, 64)
-
-
 def _batches(spark, d, longest):
     e = H.truncated(H.masked(H.pairs_from_rows(_rows(spark, d))), longest)
     b = H.collated_shuffle(e, "conv_id", 1337, 0, 8)
@@ -282,7 +255,7 @@ b AS (SELECT *, max(len(t)) OVER (PARTITION BY batch_no) - 1 AS width FROM c)
 SELECT conv_id, batch_no, CAST(width AS BIGINT) AS width, md5(array_to_string(t[:len(t) - 1] || list_transform(range(width - len(t) + 1), lambda z: '<|endoftext|>'), ' ')) AS x,
   md5(array_to_string(list_transform(range(1, len(t)), lambda i: CASE WHEN m[i + 1] = 1 THEN t[i + 1] ELSE '-1' END) || list_transform(range(width - len(t) + 1), lambda z: '-1'), ' ')) AS y FROM b"""
 )
-def sft_batches_whole(spark, d):
+def sft_batches(spark, d):
     """Seeded batches of eight whole conversations."""
     return _batches(spark, d, CONVERSATION)
 
@@ -331,17 +304,6 @@ def rejected_lengths(spark, d):
     return H.element_percentile(kept, "x", [0.5, 0.99])
 
 
-@query(
-    _PAIRS
-    + r""", w AS (SELECT row_id, ['<|user|>'] || regexp_extract_all(instruction, '[^\s\p{Z}]+') || ['<|assistant|>'] AS head, regexp_extract_all(chosen, '[^\s\p{Z}]+') || ['<|endoftext|>'] AS a, regexp_extract_all(rejected, '[^\s\p{Z}]+') || ['<|endoftext|>'] AS b FROM s WHERE state = 'kept'),
-x AS (SELECT row_id, len(head) AS h, least(48, len(head || a)) AS la, least(48, len(head || b)) AS lb FROM w)
-SELECT row_id, CAST(h AS BIGINT) AS shared_prefix, CAST(la AS BIGINT) AS chosen_length, CAST(lb AS BIGINT) AS rejected_length FROM x WHERE la > h AND lb > h"""
-)
-def preference_examples(spark, d):
-    """Both sides encoded, masked and cut to 48 tokens on their own, ``preference_examples_whole`` has them whole; a pair with an empty side is dropped."""
-    return _preferences(spark, d, 48)
-
-
 def _preferences(spark, d, longest):
     kept = _pairs(spark, d)[0]
 
@@ -361,6 +323,6 @@ def _preferences(spark, d, longest):
 x AS (SELECT row_id, len(head) AS h, least(640, len(head || a)) AS la, least(640, len(head || b)) AS lb FROM w)
 SELECT row_id, CAST(h AS BIGINT) AS shared_prefix, CAST(la AS BIGINT) AS chosen_length, CAST(lb AS BIGINT) AS rejected_length FROM x WHERE la > h AND lb > h"""
 )
-def preference_examples_whole(spark, d):
+def preference_examples(spark, d):
     """Both sides whole: 640 tokens is the reference's limit for pairs, above its longest rejected reply."""
     return _preferences(spark, d, PAIR)
