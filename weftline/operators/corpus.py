@@ -44,11 +44,13 @@ def rebuild(deduped: DataFrame, delimiter: str = "\n\n") -> DataFrame:
     )
 
 
-def running_before(df: DataFrame, value: Column, order: list[str], partition: list[str], alias: str, ranges: int = 64) -> DataFrame:
+def running_before(df: DataFrame, value: Column, order: list[str], partition: list[str], alias: str, ranges: int | None = None) -> DataFrame:
     """Exclusive running sum of ``value`` in the order of ``order`` within ``partition``, without one task for a whole partition.
 
-    Rows are range-partitioned by all keys; each range's sum per partition is a few rows, whose own running sum is joined back.
+    Rows are range-partitioned by all keys, into as many ranges as the session shuffles into unless told otherwise; each range's sum per partition
+    is a few rows, whose own running sum is joined back. Rows are moved and written whole, so pass only the columns needed.
     """
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(ranges, *partition, *order).withColumn("_range", F.spark_partition_id()).withColumn("_value", value)
     placed = cut(placed)
     sums = placed.groupBy(*partition, "_range").agg(F.sum("_value").alias("_sum"))
@@ -61,10 +63,10 @@ def running_before(df: DataFrame, value: Column, order: list[str], partition: li
 
 
 def byte_budget(documents: DataFrame, budget: int, separator: int = 2) -> DataFrame:
-    """Documents in the order of doc_id whose bytes before them (with separators) are below the budget."""
-    size = F.octet_length("text") + separator
-    total = running_before(documents.withColumn("_all", F.lit(0)), size, ["doc_id"], ["_all"], "bytes_before")
-    return total.where(F.col("bytes_before") < budget).drop("_all")
+    """Documents in the order of doc_id whose bytes before them (with separators) are below the budget. Only ids and sizes are moved and summed up."""
+    sized = documents.select("doc_id", (F.octet_length("text") + separator).alias("_size"), F.lit(0).alias("_all"))
+    total = running_before(sized, F.col("_size"), ["doc_id"], ["_all"], "bytes_before")
+    return documents.join(total.where(F.col("bytes_before") < budget).select("doc_id", "bytes_before"), "doc_id")
 
 
 def source_name(source: Column) -> Column:
@@ -92,12 +94,12 @@ def holdout_by_word(entries: DataFrame, fraction: float, seed: int) -> DataFrame
 
     entries: entry_id, word. Returns them with ``side``.
     """
-    n = entries.count()
-    ranked = entries.orderBy(X.order_key(seed, F.col("entry_id")), "entry_id")
-    val = ranked.limit(int(n * fraction))
-    train = entries.join(val.select("entry_id"), "entry_id", "left_anti")
-    pick = lambda side, name: entries.join(side.select("word").distinct(), "word", "left_semi").withColumn("side", F.lit(name))
-    return pick(train, "train").unionByName(pick(val, "val"))
+    held = int(entries.count() * fraction)
+    keyed = entries.select("entry_id", "word", X.order_key(seed, F.col("entry_id")).alias("_key"), F.lit(0).alias("_all"))
+    ranked = running_before(keyed, F.lit(1), ["_key", "entry_id"], ["_all"], "_rank")
+    name = F.when(F.col("_rank") < held, "val").otherwise("train")
+    sides = ranked.groupBy("word").agg(F.collect_set(name).alias("_sides"))  # two names at most
+    return entries.join(sides, "word").withColumn("side", F.explode("_sides")).drop("_sides")
 
 
 def holdout_by_key(entries: DataFrame, fraction: float, seed: int) -> DataFrame:

@@ -7,26 +7,27 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.session import materialise
 from weftline.functions.text import ngrams
 
 
 def bigram_model(tokens: DataFrame) -> DataFrame:
     """Smoothed log-probability of each word after the one before, a small stand-in for a model's output.
 
-    tokens: doc_id, source, words (array). Returns doc_id, source, word, logprob. Counting needs one shuffle by the pair; partial sums come first.
+    tokens: source, words (array). Returns source, a, b, n (how often), logprob. Pairs are counted where the documents are and shuffled as counts.
     """
-    spaced = tokens.select("doc_id", "source", F.explode(F.arrays_zip(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))).alias("a"), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))).alias("b"))).alias("p"))
-    spaced = spaced.select("doc_id", "source", "p.a", "p.b")
-    both = spaced.groupBy("a", "b").agg(F.count("*").alias("ab"))
+    spaced = tokens.select("source", F.explode(F.arrays_zip(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))).alias("a"), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))).alias("b"))).alias("p"))
+    each = materialise(spaced.groupBy("source", "p.a", "p.b").agg(F.count("*").alias("n")), "pairs")
+    both = each.groupBy("a", "b").agg(F.sum("n").alias("ab"))
     one = both.groupBy("a").agg(F.sum("ab").alias("na"))
-    size = spaced.agg(F.countDistinct("b").alias("v"))
+    size = each.agg(F.countDistinct("b").alias("v"))
     table = both.join(one, "a").crossJoin(F.broadcast(size))  # one row
-    return spaced.join(table.select("a", "b", F.log((F.col("ab") + 1) / (F.col("na") + F.col("v"))).alias("logprob")), ["a", "b"]).select("doc_id", "source", F.col("b").alias("word"), "logprob")
+    return each.join(table.select("a", "b", F.log((F.col("ab") + 1) / (F.col("na") + F.col("v"))).alias("logprob")), ["a", "b"])
 
 
 def perplexities(logprobs: DataFrame, by: str, size: DataFrame | None = None) -> DataFrame:
-    """Tokens, summed loss, perplexity weighted by tokens, and bits a byte where ``size`` (by, bytes) is given."""
-    out = logprobs.groupBy(by).agg(F.count("*").alias("tokens"), (-F.sum("logprob")).alias("nll"))
+    """Tokens, summed loss, perplexity weighted by tokens, and bits a byte where ``size`` (by, bytes) is given. logprobs: by, logprob, n (tokens that have it)."""
+    out = logprobs.groupBy(by).agg(F.sum("n").alias("tokens"), (-F.sum(F.col("n") * F.col("logprob"))).alias("nll"))
     out = out.withColumn("perplexity", F.exp(F.col("nll") / F.col("tokens")))
     return out if size is None else out.join(size, by).withColumn("bits_per_byte", F.col("nll") / math.log(2) / F.col("bytes")).drop("bytes")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import schedules as L
 from weftline.functions import text as X
-from weftline.functions.session import table
+from weftline.functions.session import materialise, table
 from weftline.operators import corpus as C
 from weftline.operators import mixing as M
 from weftline.operators import runs as R
@@ -294,7 +294,7 @@ VOCABULARIES = (256, 500, 1000, 2000, 3000, 4000, 6000, 8000)
 
 
 def _bpe(spark, d, merges=VOCABULARIES[-1] - 256):
-    t = K.chunks(table(spark, d, "documents").select("doc_id", "text")).cache()
+    t = materialise(K.chunks(table(spark, d, "documents").select("doc_id", "text")), "chunks")
     return t, K.train(t, merges)
 
 

@@ -6,10 +6,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.session import python_stage
+from weftline.functions.session import materialise, python_stage
 from weftline.operators.factory import dedup_valid, parse_replies, validated
 from weftline.sources.files import METRICS
 
+BUCKETS = 64
+
 
 def replies(spark: SparkSession, folder: str) -> DataFrame:
     """batch_id (the file's name) and reply of each file of a drop folder, as a stream; the checkpoint remembers the files taken."""
@@ -21,20 +23,19 @@ def ingest(stream: DataFrame, specs: DataFrame, task: str, out: str, checkpoint:
     """Parse, validate and dedup each micro-batch against all before it, and append valid rows, invalid rows and a ledger row a batch.
 
     Rows are written in folders named by the micro-batch, overwritten on a retry, so a failed micro-batch leaves nothing twice. A batch_id that the
-    ledger has is left out, even when its file comes again under a new checkpoint.
+    ledger has is left out, even when its file comes again under a new checkpoint. What is known are signatures in folders by a hash, of which a micro-batch
+    reads those its own signatures fall into.
     """
     spark = stream.sparkSession
 
     def known(part: str, schema: str, epoch: int) -> DataFrame:
-        try:
-            return spark.read.option("mergeSchema", True).parquet(f"{out}/{part}").where(F.col("epoch") != epoch).select(*[x.split(" ")[0] for x in schema.split(", ")])
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{part}")
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
             return spark.createDataFrame([], schema)
+        return spark.read.schema(f"{schema}, epoch BIGINT, bucket INT").parquet(f"{out}/{part}").where(F.col("epoch") != epoch)
 
     def take(batch: DataFrame, epoch: int) -> None:
-        done = known("ledger", "batch_id string", epoch)
+        done = known("ledger", "batch_id STRING", epoch)
         fresh = batch.join(done.select("batch_id").distinct(), "batch_id", "left_anti")
         parsed = parse_replies(fresh)
         get = lambda p, t="string": F.try_variant_get("value", f"$.{p}", t)
@@ -42,14 +43,19 @@ def ingest(stream: DataFrame, specs: DataFrame, task: str, out: str, checkpoint:
             F.concat_ws("#", "batch_id", F.col("pos").cast("string")).alias("row_id"), "batch_id", F.lit(task).alias("task"), get("seed_id").alias("seed_id"), get("instruction").alias("instruction"),
             get("response").alias("response"), F.struct(get("meta.word").alias("word"), get("meta.style").alias("style")).alias("meta"), F.struct("batch_id", "pos").alias("ingested_at"),
         )
-        checked = dedup_valid(validated(rows, specs), known("valid", "task string, signature string", epoch)).drop("ingested_at").persist()
+        fields = materialise(validated(rows, specs).withColumn("bucket", F.pmod(F.xxhash64("task", "signature"), F.lit(BUCKETS)).cast("int")), "checked")
+        touched = [r["bucket"] for r in fields.where("reason_code IS NULL").select("bucket").distinct().collect()]  # as many as buckets at most
+        seen = known("signatures", "task STRING, signature STRING", epoch)
+        seen = seen.where(F.col("bucket").isin(touched)) if "bucket" in seen.columns else seen
+        checked = materialise(dedup_valid(fields.drop("bucket"), seen).drop("ingested_at"), "deduped")
         write = lambda df, part: df.write.mode("overwrite").parquet(f"{out}/{part}/epoch={epoch}")
         write(checked.where("reason_code IS NULL"), "valid")
         write(checked.where("reason_code IS NOT NULL"), "invalid")
+        slim = checked.where("reason_code IS NULL").select("task", "signature", F.pmod(F.xxhash64("task", "signature"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+        slim.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/signatures/epoch={epoch}")
         n = checked.groupBy("batch_id").agg(F.sum(F.col("reason_code").isNull().cast("bigint")).alias("valid"), F.sum(F.col("reason_code").isNotNull().cast("bigint")).alias("invalid"))
         ledger = fresh.select("batch_id").distinct().join(n, "batch_id", "left")
         write(ledger.select("batch_id", F.lit(task).alias("task"), F.coalesce(F.col("valid").cast("string"), F.lit("0")).alias("valid"), F.coalesce(F.col("invalid").cast("string"), F.lit("all")).alias("invalid"), F.lit("ingested").alias("status")), "ledger")
-        checked.unpersist()
 
     writer = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
