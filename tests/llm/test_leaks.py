@@ -36,8 +36,11 @@ def test_no_items_and_shards(spark):
 
 
 def test_against_brute_force(spark):
-    rng = random.Random(2)
-    vocab = list("abcdefgh")
+    for seed, vocab in ((2, "abcdefgh"), (3, "ab"), (4, "abc")):
+        against_brute_force(spark, random.Random(seed), list(vocab))
+
+
+def against_brute_force(spark, rng, vocab):
     items = [(k, " ".join(rng.choice(vocab) for _ in range(rng.randint(5, 20)))) for k in range(12)]
     texts = []
     for _ in range(60):
@@ -73,8 +76,13 @@ def test_against_brute_force(spark):
 
 
 def test_removal(spark):
-    d = spark.createDataFrame([(0, f"Before it. {ITEM}, and after <i>that</i> come some more words to keep the share of what is lost below one half."), (1, ITEM)], "doc_id bigint, text string")
-    i = spark.createDataFrame([(1, ITEM), (2, ITEM)], "item_id bigint, text string")
-    got = {r["doc_id"]: r for r in L.remove_leaks(d, L.leak_spans(d, i)).collect()}
-    assert got[0]["text"].startswith("Before it. , and after <i>that</i>") and got[0]["removed_words"] == 14 and not got[0]["dropped"]
-    assert got[1]["dropped"] and got[1]["text"] is None
+    texts = [f"Before it. {ITEM}, and after <i>that</i> come some more words to keep the share of what is lost below one half.", ITEM, None, "", "nothing here"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    i = spark.createDataFrame([(1, ITEM), (2, ITEM), (3, "some more words to keep the share of what")], "item_id bigint, text string")
+    for shard_words in (1000, 10):
+        got = {r["doc_id"]: r for r in L.remove_leaks(d, i, L.LeakLimits(shard_words=shard_words, coverage=0.8)).collect()}
+        assert got[0]["text"].startswith("Before it. , and after <i>that</i> come is lost") and got[0]["removed_words"] == 23 and not got[0]["dropped"]
+        assert got[1]["dropped"] and got[1]["text"] is None
+        assert [(got[k]["text"], got[k]["removed_words"], got[k]["dropped"]) for k in (2, 3, 4)] == [(None, 0, False), ("", 0, False), ("nothing here", 0, False)]
+    plan = L.remove_leaks(d, i)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

@@ -43,6 +43,19 @@ def test_permutations():
     assert (M.permute(np.arange(1000), 1000, 5) != M.permute(np.arange(1000), 1000, 6)).any()
 
 
+def test_draws_are_multinomial_and_add_up():
+    d = M.Draws([30_000, 15_000, 4_500, 500], 250, 3)
+    drawn = np.array([d.drawn(k) for k in range(d.shards)])
+    assert d.shards == 200 and (drawn.sum(axis=1) == 250).all()
+    d.correct(drawn.sum(axis=0))
+    counts = np.array([d.counts(k) for k in range(d.shards)])
+    assert (counts.sum(axis=0) == d.slots).all() and (counts.sum(axis=1) == 250).all() and counts.min() >= 0
+    assert 0 < len(d.corrected) < 10 and min(d.corrected) >= 190
+    p = d.weights
+    assert np.allclose(drawn.mean(axis=0), 250 * p, atol=4 * np.sqrt(250 * p * (1 - p) / 200))
+    assert np.allclose(drawn.var(axis=0, ddof=1), 250 * p * (1 - p), rtol=0.45)  # a fifth of it is four deviations of a variance over 200 shards
+
+
 @needs_tokenizer
 def test_mixture(spark):
     rng = np.random.default_rng(1)
@@ -57,6 +70,10 @@ def test_mixture(spark):
     assert d[d.source == "big"].uses.max() <= 1 and d[d.source == "small"].uses.max() <= 4
     s = m.shares().toPandas().set_index("source")
     assert abs(s.actual_share["big"] - 0.75) < 0.01 and s.tokens["absent"] == 0 and s.target_share["absent"] == 0
+    slots = m.slots().select("shard", "slot", "source", "round", "block").distinct().toPandas()
+    assert not slots.duplicated(["shard", "slot"]).any()
+    assert all(n <= next(p["slots"] for p in m.plan if p["source"] == k) for k, n in slots.groupby("source").size().items())  # a block may begin no document
+    assert abs(s.drawn_share["big"] - 0.75) < 0.1
     again = M.Mixture(spark.createDataFrame(docs, "doc_id bigint, source string, text string").repartition(5), weights, M.MixRules(block=64, shard=16, parts=8)).documents().toPandas()
     assert d.sort_values("doc_id").values.tolist() == again.sort_values("doc_id").values.tolist()
 

@@ -6,8 +6,9 @@ ending here, that stands in some item; the state of the run's last ``exact`` wor
 at least ``exact`` words is a leak. A run of at least ``(near - 1) // 2 + 1`` words is the seed of a near leak: ``near`` item words
 with one changed, left out or added must hold such a run, so seeds miss none; each is extended across one edit and measured.
 
-The automaton is bounded: items beyond ``shard_words`` words are cut into several automata, each run over the documents,
-so what is sent to the executors doesn't grow with the test set. The documents are read and never shuffled.
+The automaton is bounded: items beyond ``shard_words`` words are cut into several automata, each run over the documents, so none grows with the
+test set. The driver reads the items (test sets, not corpora: their words must fit into its memory). The documents are read and never shuffled: leaks are
+cut out of a text in the pass that finds them.
 
 Null and blank texts have no leaks; items without words match nothing; repeated rows give repeated documents' leaks once.
 """
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.session import table
+from weftline.functions.session import python_stage, table
 from weftline.llm.writing import fold
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
@@ -173,7 +174,7 @@ class LeakScanner:
         seen = self._seen.get
         return [w if (w := seen(p)) is not None else self._id(p) for p in _PIECE.findall(_blank_tags(text).lower())]
 
-    def scan(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
+    def scan(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
         """Number of the text, item and span of words for each leak; spans of one item may overlap."""
         docs = [self.words(t) if t else [] for t in texts]
         flat = np.fromiter((w for d in docs for w in (*d, 0)), dtype=np.int64)
@@ -206,11 +207,11 @@ class LeakScanner:
         for s, ends in seeds.items():
             word = self.strings[s]
             for i in ends:
-                if i - 1 in ends:  # the run that goes through here has been measured
-                    continue
                 gram = d[i + 1 - seed : i + 1]
                 for p in range(seed - 1, len(word)):
                     if word[p + 1 - seed : p + 1] == gram:
+                        if p >= seed and i >= a + seed and word[p - seed] == d[i - seed]:  # the same run, measured where it begins
+                            continue
                         n, x, y = near_span(word, d, p, i)
                         if n >= self.limits.near:
                             yield self.items[s], x, y
@@ -227,12 +228,8 @@ def _scanner(key: str, strings, limits: LeakLimits) -> LeakScanner:
     return _SCANNERS[key]
 
 
-def leak_spans(documents: DataFrame, items: DataFrame, limits: LeakLimits = LeakLimits()) -> DataFrame:
-    """Every leaked stretch: doc_id, item_id, first word, word after the last (words counted from 0).
-
-    documents: doc_id, text. items: item_id, text (one row per string). The items' words are read by the driver in bounded shards.
-    """
-    spark = documents.sparkSession
+def _shards(items: DataFrame, limits: LeakLimits) -> list[list[tuple[int, list[str]]]]:
+    """The items' words in parts of bounded size; at least one part."""
     shards: list[list[tuple[int, list[str]]]] = [[]]
     size = 0
     for row in items.where(F.col("text").isNotNull()).select("item_id", "text").distinct().toLocalIterator():
@@ -242,9 +239,17 @@ def leak_spans(documents: DataFrame, items: DataFrame, limits: LeakLimits = Leak
             size = 0
         shards[-1].append((row["item_id"], ws))
         size += len(ws)
+    return shards
+
+
+def leak_spans(documents: DataFrame, items: DataFrame, limits: LeakLimits = LeakLimits()) -> DataFrame:
+    """Every leaked stretch: doc_id, item_id, first word, word after the last (words counted from 0).
+
+    documents: doc_id, text. items: item_id, text (one row per string). The documents are read once for each shard of items.
+    """
     out = None
-    for shard in shards:
-        strings = spark.sparkContext.broadcast(shard)
+    for shard in _shards(items, limits):
+        strings = documents.sparkSession.sparkContext.broadcast(shard)
 
         def run(batches: Iterator[pd.DataFrame], strings=strings, key=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
             scanner = _scanner(key, strings, limits)
@@ -253,38 +258,59 @@ def leak_spans(documents: DataFrame, items: DataFrame, limits: LeakLimits = Leak
                 rows = {(ids[n], item, x, y) for n, item, x, y in scanner.scan(pdf["text"].tolist())}
                 yield pd.DataFrame(sorted(rows), columns=["doc_id", "item_id", "first_word", "end_word"])
 
-        part = documents.select("doc_id", "text").where(F.col("text").isNotNull()).mapInPandas(run, "doc_id bigint, item_id bigint, first_word bigint, end_word bigint")
+        part = python_stage(documents.select("doc_id", "text").where(F.col("text").isNotNull()), run, "doc_id bigint, item_id bigint, first_word bigint, end_word bigint")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _strip(coverage: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc, text, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"], strict=True):
-                at = [m.span() for m in _PIECE.finditer(_blank_tags(text))]
-                kept, end, lost, seen = [], 0, 0, 0
-                for x, y in sorted((int(s["first_word"]), int(s["end_word"])) for s in spans):
-                    a, b = at[x][0], at[y - 1][1]
-                    lost, seen = lost + max(0, y - max(x, seen)), max(seen, y)
-                    if a > end:
-                        kept.append(text[end:a])
-                    elif not kept:
-                        kept.append("")
-                    end = max(end, b)
-                kept.append(text[end:])
-                share = lost / len(at)
-                rows.append((doc, lost, len(at), share > coverage, None if share > coverage else " ".join(k.strip(" ") for k in kept if k.strip(" "))))
-            yield pd.DataFrame(rows, columns=["doc_id", "removed_words", "words", "dropped", "text"])
-
-    return run
+def without_spans(text: str, spans: list[tuple[int, int]], coverage: float) -> tuple[int, int, bool, str | None]:
+    """Words removed, words before, whether the text goes as a whole, and what is left of it."""
+    at = [m.span() for m in _PIECE.finditer(_blank_tags(text))]
+    kept, end, lost, seen = [], 0, 0, 0
+    for x, y in sorted(spans):
+        a, b = at[x][0], at[y - 1][1]
+        lost, seen = lost + max(0, y - max(x, seen)), max(seen, y)
+        if a > end:
+            kept.append(text[end:a])
+        elif not kept:
+            kept.append("")
+        end = max(end, b)
+    kept.append(text[end:])
+    share = lost / len(at)
+    return lost, len(at), share > coverage, None if share > coverage else " ".join(k.strip(" ") for k in kept if k.strip(" "))
+
+
+def remove_leaks(documents: DataFrame, items: DataFrame, limits: LeakLimits = LeakLimits()) -> DataFrame:
+    """All documents without their leaked stretches: doc_id, removed_words, dropped, text.
+
+    Found and cut in one pass without a shuffle. A text of which leaks cover more than ``coverage`` becomes null and ``dropped`` true; a
+    text without leaks stays as it is. With several shards of items the passes follow each other in one stage, the spans going along with the text.
+    """
+    spark, shards = documents.sparkSession, _shards(items, limits)
+    current = documents.select("doc_id", "text", F.array().cast("array<bigint>").alias("spans"))
+    for k, shard in enumerate(shards):
+        strings, last = spark.sparkContext.broadcast(shard), k == len(shards) - 1
 
+        def run(batches: Iterator[pd.DataFrame], strings=strings, key=uuid.uuid4().hex, last=last) -> Iterator[pd.DataFrame]:
+            scanner = _scanner(key, strings, limits)
+            for pdf in batches:
+                spans = [list(x) for x in pdf["spans"]]
+                for n, _, x, y in scanner.scan(pdf["text"].tolist()):
+                    spans[n] += (x, y)
+                if not last:
+                    yield pdf.assign(spans=spans)
+                    continue
+                rows = []
+                for doc, text, flat in zip(pdf["doc_id"], pdf["text"], spans, strict=True):
+                    if flat:
+                        lost, _, gone, left = without_spans(text, [(int(x), int(y)) for x, y in zip(flat[::2], flat[1::2], strict=True)], limits.coverage)
+                        rows.append((doc, lost, gone, left))
+                    else:
+                        rows.append((doc, 0, False, text))
+                yield pd.DataFrame(rows, columns=["doc_id", "removed_words", "dropped", "text"])
 
-def remove_leaks(documents: DataFrame, spans: DataFrame, limits: LeakLimits = LeakLimits()) -> DataFrame:
-    """The touched documents without their leaked stretches; where these cover too much, the text is null and ``dropped`` true."""
-    each = spans.groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "end_word")).alias("spans"))
-    return documents.select("doc_id", "text").join(each, "doc_id").mapInPandas(_strip(limits.coverage), "doc_id bigint, removed_words bigint, words bigint, dropped boolean, text string")
+        current = python_stage(current, run, "doc_id bigint, removed_words bigint, dropped boolean, text string" if last else "doc_id bigint, text string, spans array<bigint>")
+    return current
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,5 +323,4 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return remove_leaks(documents, leak_spans(documents, _items(spark, sf_dir)))
+    return remove_leaks(table(spark, sf_dir, "documents"), _items(spark, sf_dir))
