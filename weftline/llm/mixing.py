@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.session import materialise, python_stage, table
-from weftline.llm.tokens import TOKENIZERS, encoding
+from weftline.llm.tokens import TOKENIZERS, encoding, ship_tokenizer
 
 
 @dataclass(frozen=True)
@@ -153,6 +153,7 @@ class Mixture:
         name = F.lower(F.trim(F.col("source"))).alias("source")
         wanted = {r["source"]: r for r in weights.select(name, "weight", "max_repeats", "respect_doc_boundaries").where("weight > 0 and max_repeats > 0 and source is not null").collect()}
         texts = documents.select("doc_id", name, "text").where(F.length("text") > 0).where(F.col("source").isin(list(wanted)) if wanted else F.lit(False))
+        ship_tokenizer(self.spark, rules.tokenizer)
         self.sized = materialise(python_stage(texts, _sizes(rules.tokenizer), "doc_id bigint, source string, tokens bigint").where("tokens > 0"), "sizes")
         ranged = self.sized.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(self.parts)).cast("int"))
         sums = ranged.groupBy("source", "part").agg(F.sum("tokens").alias("n"))

@@ -20,8 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.session import materialise, table
-from weftline.llm.tokens import TOKENIZERS, encoding
+from weftline.functions.session import materialise, python_stage, table
+from weftline.llm.tokens import TOKENIZERS, encoding, ship_tokenizer
 
 DIMS, BITS = 4, 10
 
@@ -89,7 +89,8 @@ def _measure(folder: str):
 def measured(documents: DataFrame, rules: PackRules = PackRules()) -> DataFrame:
     """doc_id, tokens and Hilbert key of every text that has tokens."""
     texts = documents.select("doc_id", "text").where(F.length("text") > 0)
-    return materialise(texts.mapInPandas(_measure(rules.tokenizer), "doc_id bigint, tokens bigint, key bigint").where("tokens > 0"), "sizes")
+    ship_tokenizer(documents.sparkSession, rules.tokenizer)
+    return materialise(python_stage(texts, _measure(rules.tokenizer), "doc_id bigint, tokens bigint, key bigint").where("tokens > 0"), "sizes")
 
 
 class Packer:
@@ -184,8 +185,8 @@ def packed(sized: DataFrame, windows: DataFrame, rules: PackRules = PackRules())
     """
     sizes = [(r["window_name"], int(r["seq_len"])) for r in windows.where("seq_len > 0").select("window_name", "seq_len").distinct().orderBy("window_name").collect()]
     ordered = sized.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
-    return ordered.mapInPandas(
-        _pack(sizes, rules), "window_name string, window_id string, position int, doc_id bigint, piece int, start_token bigint, tokens bigint, filled bigint, seq_len int"
+    return python_stage(
+        ordered, _pack(sizes, rules), "window_name string, window_id string, position int, doc_id bigint, piece int, start_token bigint, tokens bigint, filled bigint, seq_len int"
     )
 
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.session import table
+from weftline.functions.session import python_stage, table
 from weftline.llm.writing import fold, squash, words
 
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
@@ -399,11 +399,11 @@ def _judge(field, rules: PairRules):
 
 
 def broken_pairs(rows: DataFrame, specs: DataFrame, rules: PairRules = PairRules()) -> DataFrame:
-    """row_id and defect of every broken pair. rows: row_id, task, instruction, response, meta.word; specs is a fixed small table."""
+    """row_id and defect of every broken pair. rows: row_id, task, instruction, response, meta.word; specs: name, quality."""
     spec = specs.select(
         F.col("name").alias("task"), F.coalesce("quality.min_response_chars", F.lit(0)).alias("least"), F.lower(F.col("quality.require_lang")).alias("want"), F.coalesce("quality.forbid_refusals", F.lit(False)).alias("forbid")
     )
-    full = rows.join(F.broadcast(spec), "task", "left").select(
+    full = rows.join(spec, "task", "left").select(
         "row_id", "instruction", "response", F.col("meta.word").alias("word"), F.coalesce("least", F.lit(0)).alias("least"), "want", F.coalesce("forbid", F.lit(False)).alias("forbid")
     )
     answered = full.where(F.col("response").isNotNull())
@@ -412,7 +412,7 @@ def broken_pairs(rows: DataFrame, specs: DataFrame, rules: PairRules = PairRules
     sample = answered.where(key < int(share * (1 << 40))).orderBy(key, "row_id").limit(rules.sample).collect()
     xs, ys = make_examples([r.asDict() for r in sample], rules.seed)
     field = rows.sparkSession.sparkContext.broadcast(ClauseField.fit(xs, ys, rules.rounds) if xs else ClauseField({}, np.zeros((1, len(TAGS))), np.zeros((len(TAGS),) * 2)))
-    return full.mapInPandas(_judge(field, rules), "row_id bigint, defect string")
+    return python_stage(full, _judge(field, rules), "row_id bigint, defect string")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

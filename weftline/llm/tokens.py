@@ -5,20 +5,30 @@ from __future__ import annotations
 import base64
 import os
 
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
+
+from weftline.operators.tokenizer import GPT2
+
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
-# Fixed value: the splitting pattern that belongs to the vocabulary.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
 _LOADED: dict[str, object] = {}
 
 
+def ship_tokenizer(spark: SparkSession, folder: str = TOKENIZERS) -> None:
+    """Send the vocabulary's file to all executors; nothing is expected to lie on their machines."""
+    spark.sparkContext.addFile(os.path.join(folder, VOCABULARY))
+
+
 def encoding(folder: str = TOKENIZERS):
     """The tokenizer, loaded once a process; special tokens' strings are ordinary text."""
     if folder not in _LOADED:
         import tiktoken
 
-        with open(os.path.join(folder, VOCABULARY), "rb") as f:
+        path = os.path.join(folder, VOCABULARY)
+        if not os.path.exists(path):  # on an executor: the copy that Spark sent along
+            path = SparkFiles.get(VOCABULARY)
+        with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        _LOADED[folder] = tiktoken.Encoding("weftline", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _LOADED[folder] = tiktoken.Encoding("weftline", pat_str=GPT2, mergeable_ranks=ranks, special_tokens={})
     return _LOADED[folder]
