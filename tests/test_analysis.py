@@ -187,3 +187,29 @@ def test_scores_of_the_whole_vector(spark, tmp_path):
     run = lambda name: P.QUERIES[name](spark, str(tmp_path)).collect()
     assert {r["position"] for r in run("gate_top2")} == {r["expert"] for r in run("gate_load")} == {40, 63}
     assert run("nucleus_sizes")[0]["kept"] == 2 and len(run("expert_load")) == 64
+
+
+def test_tokenizer_is_saved_and_loaded(spark, tmp_path):
+    import json
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from weftline.operators import tokenizer as K
+
+    docs = spark.createDataFrame([(1, "the cat the cat"), (2, ""), (3, "the é")], "doc_id bigint, text string")
+    merges = K.train(K.chunks(docs), 6)
+    K.save_tokenizer(spark, merges, str(tmp_path / "t"), ("<end>",))
+    back, reserved = K.load_tokenizer(spark, str(tmp_path / "t"))
+    assert back == merges and reserved == {"<end>": 256 + len(merges)}
+    full = {r["doc_id"]: (r["ids"], r["start"]) for r in K.encode_with_starts(docs, back, reserved["<end>"]).collect()}
+    assert full[1][1] == 0 and full[2] == ([reserved["<end>"]], len(full[1][0])) and full[3][1] == len(full[1][0]) + 1
+    shown = spark.createDataFrame([(full[1][0],)], "ids array<int>").select(K.pieces(F.col("ids"), back, reserved)).first()[0]
+    assert "".join(shown) == "the·cat·the·cat<end>"
+    assert K.crossing(merges) == 0 and K.crossing([(0, 97, 32, 256, 1), (1, 256, 98, 257, 1)]) == 1
+    body = json.loads("".join(p.read_text() for p in (tmp_path / "t").glob("part-*")))
+    body["vocabulary"]["256"] = "00"
+    (tmp_path / "u").mkdir()
+    (tmp_path / "u" / "x.txt").write_text(json.dumps(body))
+    with pytest.raises(ValueError, match="doesn't belong"):
+        K.load_tokenizer(spark, str(tmp_path / "u"))

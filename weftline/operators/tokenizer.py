@@ -6,16 +6,18 @@ then exactly a merge from left to right without overlap, and it stays in the JVM
 
 from __future__ import annotations
 
+import json
 from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.session import cut, python_stage
+from weftline.functions.session import cut, materialise, python_stage
+from weftline.operators.corpus import running_before
 
 # Fixed value: the splitting pattern of the common byte-level vocabularies.
 GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -231,6 +233,36 @@ def encode_documents(documents: DataFrame, merges: list[tuple[int, int, int, int
     return python_stage(documents.where(F.col("text").isNotNull()).select("doc_id", pretokenized(F.col("text"), mode).alias("chunks")), run, "doc_id bigint, ids array<int>")
 
 
+def encode_with_starts(documents: DataFrame, merges: list[tuple[int, int, int, int, int]], end_id: int, mode: str = "gpt2") -> DataFrame:
+    """doc_id, ids with the end mark behind, and start, the place of the document's first token when all follow each other by doc_id."""
+    ids = materialise(encode_documents(documents, merges, mode, end_id), "ids")
+    starts = running_before(ids.select("doc_id", F.size("ids").alias("n"), F.lit(0).alias("_all")), F.col("n"), ["doc_id"], ["_all"], "start")
+    return ids.join(starts.select("doc_id", "start"), "doc_id")
+
+
+def save_tokenizer(spark: SparkSession, merges: list[tuple[int, int, int, int, int]], folder: str, reserved: tuple[str, ...] = ()) -> None:
+    """One JSON document: the merges in order, the tokens' bytes in hexadecimal by id, and the reserved marks, whose ids follow the last token's."""
+    tokens = vocabulary(merges)
+    body = {"merges": [list(m) for m in merges], "vocabulary": {str(i): b.hex() for i, b in tokens.items()}, "reserved": {t: max(tokens) + 1 + k for k, t in enumerate(reserved)}}
+    spark.createDataFrame([(json.dumps(body),)], "value string").coalesce(1).write.mode("overwrite").text(folder)
+
+
+def load_tokenizer(spark: SparkSession, folder: str) -> tuple[list[tuple[int, int, int, int, int]], dict[str, int]]:
+    """Merges and reserved marks of a saved tokenizer; one whose vocabulary isn't that of its merges is an error."""
+    body = json.loads(spark.read.text(folder, wholetext=True).first()["value"])
+    merges = [tuple(m) for m in body["merges"]]
+    if {int(i): bytes.fromhex(b) for i, b in body["vocabulary"].items()} != vocabulary(merges):
+        raise ValueError("the saved vocabulary doesn't belong to the merges")
+    return merges, body["reserved"]
+
+
+def pieces(ids: Column, merges: list[tuple[int, int, int, int, int]], reserved: dict[str, int] | None = None) -> Column:
+    """What each token looks like: its text, a blank shown as a middle dot; bytes that are no text as the replacement character, ids that aren't known as null."""
+    shown = {i: b.decode("utf-8", "replace").replace(" ", "·") for i, b in vocabulary(merges).items()} | {i: t for t, i in (reserved or {}).items()}
+    table = F.create_map(*(x for i, t in shown.items() for x in (F.lit(i), F.lit(t))))
+    return F.transform(ids, lambda i: F.try_element_at(table, i))
+
+
 def vocabulary(merges: list[tuple[int, int, int, int, int]]) -> dict[int, bytes]:
     out = {i: bytes([i]) for i in range(256)}
     for _, a, b, new, _ in merges:

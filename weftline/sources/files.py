@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.session import materialise
+
 METRICS = "run_id STRING, step BIGINT, tokens_seen BIGINT, epoch BIGINT, train_loss DOUBLE, val_loss DOUBLE, lr DOUBLE, grad_norm DOUBLE, tokens_per_sec DOUBLE, tok_s DOUBLE, mem_gb DOUBLE, elapsed_s DOUBLE, pretrain_val_loss DOUBLE, pretrain_val_ppl DOUBLE, forgetting_delta DOUBLE, train_reward_accuracy DOUBLE, train_reward_margin DOUBLE, val_reward_accuracy DOUBLE, val_reward_margin DOUBLE, val_kl_chosen DOUBLE, val_kl_rejected DOUBLE, moe_aux_loss DOUBLE, mtp_loss DOUBLE, expert_load ARRAY<ARRAY<DOUBLE>>"
 REGISTRY = "run_id STRING, date DATE, phase INT, tier STRING, params_M DOUBLE, baseline_run STRING, variable_changed STRING, tokens_trained_M DOUBLE, final_val_loss DOUBLE, final_ppl DOUBLE, wall_hours DOUBLE, wandb_url STRING, verdict STRING"
 LEDGER = "batch_id STRING, task STRING, style STRING, backend STRING, n_seeds STRING, status STRING, created STRING, received STRING, ingested STRING, valid STRING, invalid STRING"
@@ -82,8 +85,29 @@ def task_specs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_texts(documents: DataFrame, path: str) -> None:
-    """Texts in folders by split and category."""
-    documents.write.mode("overwrite").partitionBy("split", "category").parquet(path)
+    """Texts as text files in folders by split and category, a blank line after each text. documents: split, category, text."""
+    documents.select("split", "category", "text").where("text IS NOT NULL").write.mode("overwrite").partitionBy("split", "category").option("lineSep", "\n\n").text(path)
+
+
+def split_of(flag: Column, held: list[str]) -> Column:
+    """``val`` for the books named as held out, else ``train``; spelling apart from case and blanks counts."""
+    return F.when(F.lower(F.trim(flag)).isin([h.strip().lower() for h in held]), "val").otherwise("train")
+
+
+def ordered_texts(spark: SparkSession, root: str, split: str, folders: list[str], last: list[str] = ()) -> DataFrame:
+    """path, name, text and place of a split's files: those of the folders by name, then single files. Train lies at the root, another split in a folder of its name.
+
+    What isn't there is left out.
+    """
+    base = root if split == "train" else f"{root.rstrip('/')}/{split}"
+    out = None
+    for k, (part, pattern) in enumerate([*((f, "*.txt") for f in folders), *((".", n) for n in last)]):
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{part}" if part != "." else base)
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            continue
+        found = texts(spark, at.toString(), pattern).withColumn("place", F.struct(F.lit(k).alias("group"), "name"))
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], "path string, name string, text string, place struct<group: int, name: string>") if out is None else out
 
 
 def write_split(rows: DataFrame, path: str) -> None:
@@ -96,16 +120,48 @@ def append_rows(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def append_registry(spark: SparkSession, runs: DataFrame, path: str, null: str = "-") -> int:
+    """Add runs to a registry in CSV whose run_id isn't in it yet; the number added. runs: the registry's columns or some of them."""
+    columns = [x.split(" ")[0] for x in REGISTRY.split(", ")]
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fresh = runs.select(*((F.col(c) if c in runs.columns else F.lit(None)).cast(t).alias(c) for c, t in (x.split(" ") for x in REGISTRY.split(", ")))).dropDuplicates(["run_id"])
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        fresh = fresh.join(registry(spark, path).select("run_id"), "run_id", "left_anti").select(columns)
+    fresh = materialise(fresh, "runs")
+    n = fresh.count()
+    if n:
+        fresh.coalesce(1).write.mode("append").option("header", True).option("nullValue", null).csv(path)
+    return n
+
+
 def write_ledger(state: DataFrame, path: str) -> None:
     """The ledger as one CSV file sorted by batch; it has one row a batch, so one task writes it."""
     state.orderBy("batch_id").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_tokens(tokens: DataFrame, path: str) -> None:
-    """Token rows (source, doc_id, ids) by source; the tokens of a document stay together."""
+    """Token rows (source, doc_id, ids) by source, in place of what was there; the tokens of a document stay together."""
     tokens.write.mode("overwrite").partitionBy("source").parquet(path)
 
 
+def append_tokens(spark: SparkSession, tokens: DataFrame, path: str) -> int:
+    """Add the documents that the token table doesn't have yet; the number added. Only ids of the old rows are read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        tokens = tokens.join(spark.read.parquet(path).select("doc_id"), "doc_id", "left_anti")
+    tokens = materialise(tokens, "tokens")
+    n = tokens.count()
+    if n:
+        tokens.write.mode("append").partitionBy("source").parquet(path)
+    return n
+
+
+def verify_slices(tokens: DataFrame, texts: DataFrame, decode: Callable[[Column], Column], length: int) -> DataFrame:
+    """doc_id and same: whether the first ``length`` ids of a document, decoded, are what its text begins with."""
+    got = decode(F.slice("ids", 1, length))
+    return tokens.join(texts.select("doc_id", "text"), "doc_id").select("doc_id", F.startswith(F.col("text"), got).alias("same"))
+
+
 def token_slice(tokens: DataFrame, doc_id: int, start: int, length: int) -> DataFrame:
     """Random access: a slice of one document's ids; the filter is pushed to the scan."""
     return tokens.where(F.col("doc_id") == doc_id).select(F.slice("ids", start + 1, length).alias("ids"))

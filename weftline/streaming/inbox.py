@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,3 +88,20 @@ def generate(prompts: DataFrame, backend, schema: str = "batch_id string, ok boo
             yield pd.DataFrame(out, columns=["batch_id", "ok", "reply", "detail"])
 
     return python_stage(prompts.select("batch_id", "prompt"), run, schema)
+
+
+def mock_backend(prompt: str) -> str:
+    """A reply in the right form for each listed item of a prompt, without any model; for tests and dry runs."""
+    items = re.findall(r"^\[([^\]]+)\] (.*?):", prompt, re.MULTILINE)
+    style = re.search(r"^Style: (.*)$", prompt, re.MULTILINE)
+    return json.dumps([{"seed_id": i, "instruction": f"What does '{w}' mean?", "response": f"The word {w} is one of the listed items.", "meta": {"word": w, "style": style.group(1) if style else "neutral"}} for i, w in items])
+
+
+BACKENDS = {"mock": mock_backend}
+
+
+def backend_of(name: str):
+    """A backend by name; further ones are put into ``BACKENDS``. One that isn't known is an error."""
+    if name not in BACKENDS:
+        raise ValueError(f"unknown backend {name!r}; known are {', '.join(sorted(BACKENDS))}")
+    return BACKENDS[name]
