@@ -63,3 +63,47 @@ def test_held_out_accuracy():
     f = P.ClauseField.fit(xs[::2], ys[::2], 80)
     hits = [t == g for tags, gold in zip(f.tag(xs[1::2]), ys[1::2], strict=True) for t, g in zip(tags, gold, strict=True)]
     assert sum(hits) / len(hits) > 0.97
+
+
+def made_rows(n=400):
+    rows = []
+    for k in range(n):
+        a, b = NOUNS[k % 10], NOUNS[(k * 3 + 1) % 10]
+        rows.append({"instruction": ASK[k % 3].format(f"zor{k}"), "response": f"The word zor{k} stands for a {a} that was in the {b}. It is the {a} of the house.", "want": "en", "word": f"zor{k}"})
+    return rows
+
+
+def test_refusals_in_wordings_never_seen():
+    """Fitted without a third of the wordings, most of these are still told from answers."""
+    hits = n = 0
+    for part in range(3):
+        seen = {"en": tuple(x for k, x in enumerate(P.REFUSALS["en"]) if k % 3 != part)}
+        left = [x for k, x in enumerate(P.REFUSALS["en"]) if k % 3 == part]
+        f = P.ClauseField.fit(*P.make_examples(made_rows(), 3, None, seen), 80)
+        texts = [x.replace("{w}", "zor9999") for x in left]
+        tagged = f.tag([P.features(t, P.words(ASK[0].format("zor9999")), "en")[0] for t in texts])
+        hits += sum((t == P.REFUSAL).all() for t in tagged)
+        n += len(left)
+        sound = f.tag([P.features(r["response"].replace("zor", "mar"), P.words(r["instruction"]), "en")[0] for r in made_rows(50)])
+        assert not any((t == P.REFUSAL).any() for t in sound)
+    assert hits >= 0.7 * n
+
+
+def test_language_without_function_words():
+    import random
+
+    rng = random.Random(1)
+    kinds = {
+        "en": ("the of and which was with".split(), "weather kitchen knowledge thought through window shepherd bright breath church".split()),
+        "de": ("der und das nicht mit für".split(), "Wetter Küche Schlüssel Geschichte Nachbarschaft Fenster Schäfer zwischen Kirche Brötchen".split()),
+        "fr": ("le et une dans pour avec".split(), "cuisine fenêtre rivière couturière bergère muraille chambre lointaine fatiguée prairie".split()),
+    }
+    train = [" ".join(rng.choice(f) + " " + rng.choice(w) for _ in range(8)) + "." for f, w in kinds.values() for _ in range(60)]
+    model = P.Languages.fit(train)
+    assert model.names == ["de", "en", "fr"]
+    for lang, (_, ws) in kinds.items():
+        texts = [" ".join(rng.sample(ws, 5)).capitalize() + "." for _ in range(20)]
+        assert all(not any(v for v in P.language_scores(P.words(t)).values()) for t in texts[:1])
+        assert all(m.startswith("gram:own") for m in model.marks(texts, [lang] * 20))
+        assert all(m.startswith("gram:other") for m in model.marks(texts, ["en" if lang != "en" else "de"] * 20))
+    assert model.marks(["", "x"], ["en", None])[1] is None and P.Languages.fit([]).marks(["x"], ["en"]) == [None]

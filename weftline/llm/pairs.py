@@ -6,7 +6,9 @@ the share of the words under each tag decides the defect of the pair. The field
 sure but far from complete tag the sample's clauses, and known defects are put into copies of its sound rows (cut off
 inside a clause, the instruction given back with small changes, responses in a language the task doesn't ask for, refusals
 in common wordings). The field generalises over them by words, word pairs, opening words, quoting, overlap with the
-instruction, language scores, and how the clause ends. Every row is then tagged over its whole text.
+instruction, language scores, and how the clause ends. Which language a clause is in is told by character trigrams: their model is
+trained on the sample's clauses whose function words leave no doubt, so it also knows clauses without any function word. Every
+row is then tagged over its whole text.
 
 ``empty`` needs no model: null, blank (also only invisible characters or punctuation), a placeholder, or shorter when trimmed than the task's least
 number of characters. At most one defect a row, in the order empty, copy, refusal, language, truncated.
@@ -121,8 +123,65 @@ def language_scores(ws: list[str]) -> dict[str, int]:
     return {k: sum(w in v for w in ws) for k, v in _STOP_SETS.items()}
 
 
-def features(text: str, instruction: list[str], want: str | None) -> tuple[list[list[str]], list[int]]:
-    """Feature names of each clause, and its number of words."""
+class Languages:
+    """Which language a clause is in, by the log-probabilities of its character trigrams; trigrams share ``BINS`` bins."""
+
+    BINS = 1 << 15
+
+    def __init__(self, names: list[str], table: np.ndarray):
+        self.names, self.table = names, table
+
+    @classmethod
+    def fit(cls, texts: list[str]) -> Languages:
+        """Trained on the clauses that have two function words more of one language than of any other."""
+        by: dict[str, list[str]] = {}
+        for text in texts:
+            for c in clauses(text):
+                top = sorted(language_scores(words(c)).items(), key=lambda x: -x[1])
+                if top[0][1] >= top[1][1] + 2:
+                    by.setdefault(top[0][0], []).append(c)
+        names = sorted(k for k, v in by.items() if len(v) >= 10)
+        counts = np.full((cls.BINS, len(names)), 0.1)
+        for k, name in enumerate(names):
+            bins, _ = cls._bins(by[name])
+            counts[:, k] += np.bincount(bins, minlength=cls.BINS)
+        return cls(names, np.log(counts / counts.sum(0)).astype(np.float32))
+
+    @classmethod
+    def _bins(cls, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Bins of all trigrams of all texts, and where each text's begin."""
+        padded = [f"  {t.lower()} " for t in texts]
+        chars = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        chars[(chars < 65) | ((chars > 90) & (chars < 97))] = 32  # digits and punctuation tell no language
+        ends = np.cumsum([len(p) for p in padded])
+        at = np.ones(len(chars), bool)
+        at[ends - 1] = at[ends - 2] = False  # no trigram across two texts
+        x = chars[:-2] * np.uint64(0x9E3779B1) ^ chars[1:-1] * np.uint64(0x85EBCA77) ^ chars[2:] * np.uint64(0xC2B2AE3D)
+        bins = ((x ^ (x >> np.uint64(15))) % np.uint64(cls.BINS)).astype(np.int64)[at[:-2]]
+        return bins, np.concatenate([[0], np.cumsum([len(p) - 2 for p in padded])[:-1]]).astype(np.int64)
+
+    def marks(self, texts: list[str], wants: list[str | None]) -> list[str | None]:
+        """For each clause whether it is in the wanted language and how sure that is; null where nothing can be said."""
+        if not texts or len(self.names) < 2:
+            return [None] * len(texts)
+        bins, starts = self._bins(texts)
+        score = np.add.reduceat(self.table[bins], starts, axis=0)
+        best, top = score.argmax(1), np.sort(score, axis=1)
+        column = {n: k for k, n in enumerate(self.names)}
+        out: list[str | None] = []
+        for i, want in enumerate(wants):
+            k = column.get(want)
+            if k is None:
+                out.append(None)
+            elif best[i] == k:
+                out.append(f"gram:own:{min(6, int((top[i, -1] - top[i, -2]) / 4))}")
+            else:
+                out.append(f"gram:other:{min(6, int((top[i, -1] - score[i, k]) / 4))}")
+        return out
+
+
+def features(text: str, instruction: list[str], want: str | None, marks: list[str | None] | None = None) -> tuple[list[list[str]], list[int]]:
+    """Feature names of each clause, and its number of words; marks: a language feature for each clause."""
     parts = clauses(text)
     out, size = [], []
     asked = set(instruction)
@@ -157,6 +216,8 @@ def features(text: str, instruction: list[str], want: str | None) -> tuple[list[
                 f.append("end:" + (tail[-1] if tail and not tail[-1].isalnum() else "x"))
                 f.append("open" if tail.count("(") > tail.count(")") or tail.count('"') % 2 else "closed")
         f.append(f"len:{min(8, len(every) // 4)}:{last}")
+        if marks and marks[i]:
+            f.append(marks[i])
         out.append(f)
         size.append(max(1, len(every)))
     return out, size
@@ -271,7 +332,7 @@ class ClauseField:
                 b *= 0.98
                 b += 0.02 * g * g
                 x -= 0.1 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.98**step)) + 1e-8)
-        for x, i in vocabulary.items():  # a clause with its final stop can't be unfinished
+        for x, i in vocabulary.items():  # a tag that the observation rules out: a clause with its final stop isn't unfinished
             if x.startswith("end:True:"):
                 field.weights[i, UNFINISHED] = -1e3
         return field
@@ -319,13 +380,13 @@ def _echoes(instruction: str, rng: random.Random) -> str:
     return instruction + rng.choice(["", "\n", " "])
 
 
-def make_examples(rows: list[dict], seed: int) -> tuple[list[list[list[str]]], list[list[int]]]:
+def make_examples(rows: list[dict], seed: int, languages: Languages | None = None, refusals: dict[str, tuple[str, ...]] = REFUSALS) -> tuple[list[list[list[str]]], list[list[int]]]:
     """Feature rows and tags out of the sample: its own clauses under sure tags, and copies with a defect put in."""
     rng = random.Random(seed)
     xs, ys = [], []
 
     def add(text: str, instruction: list[str], want: str | None, tags: list[int]) -> None:
-        f, _ = features(text, instruction, want)
+        f, _ = features(text, instruction, want, languages and languages.marks(parts := clauses(text), [want] * len(parts)))
         if len(f) == len(tags):
             xs.append(f)
             ys.append(tags)
@@ -351,12 +412,12 @@ def make_examples(rows: list[dict], seed: int) -> tuple[list[list[list[str]]], l
             add(e, ask, want, [ECHO] * len(clauses(e)))
         if rng.random() < 0.4:
             own = want or "en"
-            t = rng.choice(REFUSALS.get(own if rng.random() < 0.8 else "en", REFUSALS["en"])).replace("{w}", r["word"] or "this")
+            t = rng.choice(refusals.get(own if rng.random() < 0.8 else "en", refusals["en"])).replace("{w}", r["word"] or "this")
             t = t.upper() if rng.random() < 0.1 else t
             add(t, ask, want, [REFUSAL] * len(clauses(t)))
             if rng.random() < 0.3:
                 t = rng.choice(["Is there anything else you need?", "Kindly ask somebody else.", "Please consult an expert.", "I would rather not write about it today."])
-                r2 = rng.choice(["", "", "Hmm. ", "Well. "]) + rng.choice(REFUSALS["en"]).replace("{w}", r["word"] or "this") + " " + t
+                r2 = rng.choice(["", "", "Hmm. ", "Well. "]) + rng.choice(refusals["en"]).replace("{w}", r["word"] or "this") + " " + t
                 add(r2, ask, want, [REFUSAL] * len(clauses(r2)))
         scores = language_scores(words(text))
         spoken = max(scores, key=scores.__getitem__)
@@ -378,19 +439,27 @@ def defect_of(tags: np.ndarray, size: list[int], forbid: bool, rules: PairRules)
     return "truncated" if tags[-1] == UNFINISHED else None
 
 
-def _judge(field, rules: PairRules):
+def _judge(fitted, rules: PairRules):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model: ClauseField = field.value
+        model, languages = fitted.value
         for pdf in batches:
             rows, defects, todo = [], {}, []
+            texts: list[tuple[str, list[str], str | None]] = []
             for row_id, ask, text, least, want, forbid in zip(pdf["row_id"], pdf["instruction"], pdf["response"], pdf["least"], pdf["want"], pdf["forbid"], strict=True):
                 if is_empty(text, int(least)):
                     defects[row_id] = "empty"
                     continue
-                f, size = features(trimmed(text), words(ask), want)
+                texts.append((trimmed(text), words(ask), want))
+                todo.append((row_id, forbid))
+            parts = [clauses(t) for t, _, _ in texts]
+            marks = languages.marks([c for p in parts for c in p], [want for p, (_, _, want) in zip(parts, texts, strict=True) for _ in p])
+            at, sizes = 0, []
+            for p, (text, ask, want) in zip(parts, texts, strict=True):
+                f, size = features(text, ask, want, marks[at : at + len(p)])
+                at += len(p)
                 rows.append(f)
-                todo.append((row_id, size, forbid))
-            for (row_id, size, forbid), tags in zip(todo, model.tag(rows), strict=True):
+                sizes.append(size)
+            for (row_id, forbid), size, tags in zip(todo, sizes, model.tag(rows), strict=True):
                 if (d := defect_of(tags, size, bool(forbid), rules)) is not None:
                     defects[row_id] = d
             yield pd.DataFrame({"row_id": list(defects), "defect": list(defects.values())}, columns=["row_id", "defect"]).astype({"row_id": "int64", "defect": "object"})
@@ -410,9 +479,11 @@ def broken_pairs(rows: DataFrame, specs: DataFrame, rules: PairRules = PairRules
     key = F.pmod(F.xxhash64("row_id"), F.lit(1 << 40))
     share = min(1.0, 4 * rules.sample / max(1, answered.count()))  # so that what the tasks send to the driver doesn't grow with them
     sample = answered.where(key < int(share * (1 << 40))).orderBy(key, "row_id").limit(rules.sample).collect()
-    xs, ys = make_examples([r.asDict() for r in sample], rules.seed)
-    field = rows.sparkSession.sparkContext.broadcast(ClauseField.fit(xs, ys, rules.rounds) if xs else ClauseField({}, np.zeros((1, len(TAGS))), np.zeros((len(TAGS),) * 2)))
-    return python_stage(full, _judge(field, rules), "row_id bigint, defect string")
+    languages = Languages.fit([trimmed(r["response"]) for r in sample])
+    xs, ys = make_examples([r.asDict() for r in sample], rules.seed, languages)
+    field = ClauseField.fit(xs, ys, rules.rounds) if xs else ClauseField({}, np.zeros((1, len(TAGS))), np.zeros((len(TAGS),) * 2))
+    fitted = rows.sparkSession.sparkContext.broadcast((field, languages))
+    return python_stage(full, _judge(fitted, rules), "row_id bigint, defect string")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
