@@ -58,7 +58,7 @@ class HistoryRules:
 
     max_words: int = 2
     hot: int = 64
-    buckets: int = 24
+    buckets: int = 12
     listed: int = 1000
 
     @property
@@ -286,7 +286,15 @@ class HistoryIndex:
         return [r["value"] for r in spark.read.text(path).collect()]  # a line a batch
 
     def _line(self, name: str, line: str) -> None:
-        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{self.folder}/{name}")
+        """Add a line as a file of its own, there as a whole or not at all."""
+        hadoop, file = self.spark._jvm.org.apache.hadoop.fs, uuid.uuid4().hex
+        fs = hadoop.Path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        hidden, final = (hadoop.Path(f"{self.folder}/{name}/{x}") for x in (f"_{file}", f"{file}.txt"))
+        out = fs.create(hidden)
+        out.write(bytearray(line.encode() + b"\n"))
+        out.close()
+        if not fs.rename(hidden, final):
+            raise OSError(f"cannot write {final}")
 
     def _part(self, part: str, stages: list[str]) -> DataFrame:
         return self.spark.table(f"{self.name}_{part}").where(F.col("stage").isin(stages)).drop("stage")
