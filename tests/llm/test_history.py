@@ -98,6 +98,26 @@ def test_index_is_opened_again_and_appending_twice_changes_nothing(spark, tmp_pa
     assert other._part("keys", sorted(other.committed.values())).count() == 3  # one of them in either batch
 
 
+def test_merged_parts_say_the_same(spark, tmp_path):
+    folder, sp = f"file://{tmp_path}/index", specs(spark)
+    index = H.HistoryIndex(spark, H.HistoryRules(buckets=2, hot=1), folder)
+    first = None
+    for part in (ROWS[:4], ROWS[4:9], ROWS[9:12]):
+        batch = index.prepare(spark.createDataFrame(part, ROW), sp)
+        first = first or batch
+        assert index.append(batch)
+    new = spark.createDataFrame([row(60, "renmurdonli"), row(61, "tersol", task="u", instruction="Tell me of 'tersol' now."), row(62, "unheard")], ROW)
+    before = ids(index.check(index.prepare(new, sp)))
+    index.refresh()
+    assert index.compact() and not index.compact()
+    assert len(set(index.committed.values())) == 1 and len(index.committed) == 3
+    again = H.HistoryIndex(spark, folder=folder)
+    assert ids(again.check(again.prepare(new, sp))) == before == {60, 61}
+    assert not again.append(first)
+    assert again.append(again.prepare(new, sp)) and again.compact() and len(again.committed) == 4
+    assert ids(again.check(again.prepare(spark.createDataFrame([row(70, "unheard")], ROW), sp))) == {70}
+
+
 def test_staged_batches_are_not_history(spark, tmp_path):
     folder, sp = f"file://{tmp_path}/index", specs(spark)
     index = H.HistoryIndex(spark, H.HistoryRules(buckets=2), folder)

@@ -13,7 +13,7 @@ The index lies in one folder and outlives the session; it has four tables, bucke
   of length n is probed with the prefixes and suffixes that words of n-1, n and n+1 have;
 * ``counts``: how many entries each segment has, by batch.
 
-``prepare`` stages a batch in these tables under a name of its own, ``check`` probes, ``append`` commits the staged batch by one
+``compact`` merges what many batches left. ``prepare`` stages a batch in these tables under a name of its own, ``check`` probes, ``append`` commits the staged batch by one
 line in ``manifest``. A batch that was staged and never committed is not seen by others, and appending the same batch again (by its
 content, or by the id given) changes nothing. The batch is shuffled into the buckets of the index and joined with the
 tables there: history is neither shuffled nor sorted nor united with anything, only its columns needed are scanned.
@@ -265,10 +265,15 @@ class HistoryIndex:
         """See what others have appended since."""
         for part in self.TABLES:
             self.spark.sql(f"ALTER TABLE {self.name}_{part} RECOVER PARTITIONS")
+        lines = [json.loads(x) for x in sorted(self._lines("manifest"))]
+        merged = {old: x["merged"] for x in lines if "merged" in x for old in x["of"]}
         self.committed: dict[str, str] = {}
-        for line in sorted(self._lines("manifest")):
-            done = json.loads(line)
-            self.committed.setdefault(done["batch"], done["stage"])
+        for done in lines:
+            if "batch" in done:
+                stage = done["stage"]
+                while stage in merged:
+                    stage = merged[stage]
+                self.committed.setdefault(done["batch"], stage)
 
     def close(self) -> None:
         """Take the tables' names out of the session; the folder stays."""
@@ -403,12 +408,38 @@ class HistoryIndex:
         self.committed[batch.id] = batch.stage
         return True
 
+    def compact(self) -> bool:
+        """Merge all committed parts of the tables into one, bucket by bucket; False where there is nothing to merge.
+
+        Worth while whenever the parts have become many, as each leaves a file a bucket. The merged part counts from one line in the manifest
+        on; then the old ones are deleted, so nobody else should be checking against them meanwhile.
+        """
+        self.refresh()
+        old = sorted(set(self.committed.values()))
+        if len(old) < 2:
+            return False
+        stage, order = uuid.uuid4().hex, F.min(F.struct("a0", "r0")).alias("f")
+        self._stage("entries", self._part("entries", old).dropDuplicates(["entry"]), stage, placed=True)
+        keys = self._part("keys", old).groupBy("key", "mark").agg(order, F.bool_or("several").alias("several"))
+        self._stage("keys", keys.select("key", "mark", "f.a0", "f.r0", "several"), stage, placed=True)
+        postings = self._part("postings", old).groupBy("key", "entry").agg(order, F.first("zones").alias("zones"))
+        self._stage("postings", postings.select("key", "entry", "f.a0", "f.r0", "zones"), stage, placed=True)
+        self._stage("counts", self._part("counts", old).groupBy("key").agg(F.sum("n").alias("n")), stage, placed=True)
+        self._line("manifest", json.dumps({"merged": stage, "of": old}))
+        for x in old:
+            self._drop(x)
+        self.refresh()
+        return True
+
+    def _drop(self, stage: str) -> None:
+        for part in self.TABLES:
+            self.spark.sql(f"ALTER TABLE {self.name}_{part} DROP IF EXISTS PARTITION (stage = '{stage}')")
+            remove_folder(self.spark, f"{self.folder}/{part}/stage={stage}")
+
     def discard(self, batch: Batch) -> None:
         """Delete what a batch staged that is not to be appended."""
         if batch.stage not in self.committed.values():
-            for part in self.TABLES:
-                self.spark.sql(f"ALTER TABLE {self.name}_{part} DROP IF EXISTS PARTITION (stage = '{batch.stage}')")
-                remove_folder(self.spark, f"{self.folder}/{part}/stage={batch.stage}")
+            self._drop(batch.stage)
 
 
 def repeated_rows(rows: DataFrame, specs: DataFrame, slices: int = 4, rules: HistoryRules = HistoryRules()) -> DataFrame:
