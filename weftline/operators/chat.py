@@ -20,6 +20,13 @@ def _turns(messages: DataFrame) -> DataFrame:
     )
 
 
+def role_problems(messages: DataFrame, known: tuple[str, ...] = ("user", "assistant")) -> DataFrame:
+    """The messages with ``problem``: why a turn can't be rendered (no role, an unknown role, no text), null for a sound one."""
+    role = F.col("role")
+    problem = F.when(role.isNull(), "missing role").when(~role.isin(*known), F.concat(F.lit("unknown role '"), role, F.lit("'"))).when(F.col("text").isNull(), "missing text")
+    return messages.withColumn("problem", problem)
+
+
 def render(messages: DataFrame, generation_prompt: bool = False) -> DataFrame:
     """conv_id, chat, dropped_turns. With ``generation_prompt`` a conversation ending on a user's turn ends with the assistant's mark."""
     t = _turns(messages)

@@ -94,3 +94,15 @@ def costs(runs: DataFrame, rate: str = "usd_hour") -> DataFrame:
     hours = F.col("tokens") / F.col("tok_s") / 3600
     slow = F.min("tok_s").over(Window.partitionBy("tier"))
     return runs.withColumn("hours", hours).withColumn("usd", hours * F.col(rate)).withColumn("speed_up", F.col("tok_s") / slow)
+
+
+def usage(metrics: DataFrame, rate: str = "tok_s", memory: str = "mem_gb") -> DataFrame:
+    """Mean rate, mean and greatest memory of each run, over the points that have them."""
+    return metrics.groupBy("run_id").agg(F.avg(rate).alias("mean_rate"), F.avg(memory).alias("mean_memory"), F.max(memory).alias("peak_memory"))
+
+
+def expert_loads(loads: DataFrame, by: list[str]) -> DataFrame:
+    """by, expert, mean load over layers and points, and the spread between the layers' means. loads: by, load (array of layers, each an array of experts)."""
+    each = loads.select(*by, F.posexplode("load").alias("layer", "experts")).select(*by, "layer", F.posexplode("experts").alias("expert", "x"))
+    layers = each.groupBy(*by, "layer", "expert").agg(F.avg("x").alias("m"), F.sum("x").alias("s"), F.count("x").alias("n"))
+    return layers.groupBy(*by, "expert").agg((F.sum("s") / F.sum("n")).alias("load"), (F.max("m") - F.min("m")).alias("spread"), F.count("*").alias("layers"))

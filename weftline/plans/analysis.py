@@ -423,3 +423,19 @@ def expert_load(spark, d):
     """Mean of each number of the whole vectors by label."""
     e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("expert", "load"))
     return e.groupBy("label", "expert").agg(F.round(F.avg(F.col("load").cast("double")), 6).alias("load"))
+
+
+@query(_RUNS + "SELECT run_id, round(avg(tok_s), 6) AS mean_rate, round(avg(CASE WHEN event_type <> 'view' THEN value / 8 END), 6) AS mean_memory, round(max(CASE WHEN event_type <> 'view' THEN value / 8 END), 6) AS peak_memory FROM m GROUP BY run_id")
+def run_usage(spark, d):
+    """Rate and memory of each run; points without a memory figure don't count for it."""
+    m = _metrics(spark, d).withColumn("mem_gb", F.when(F.col("event_type") != "view", F.col("value") / 8))
+    return R.usage(m).select("run_id", *(F.round(c, 6).alias(c) for c in ("mean_rate", "mean_memory", "peak_memory")))
+
+
+@query("""WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS pos FROM embeddings), l AS (SELECT label, pos // 8 AS layer, pos % 8 AS expert, avg(x) AS m, sum(x) AS s, count(x) AS n FROM e GROUP BY ALL)
+SELECT label, CAST(expert AS INTEGER) AS expert, round(sum(s) / sum(n), 6) AS load, round(max(m) - min(m), 6) AS spread, count(*) AS layers FROM l GROUP BY label, expert""")
+def expert_load_layers(spark, d):
+    """Each vector as eight experts in each of its layers: mean load over the layers, and how far the layers differ."""
+    at = F.sequence(F.lit(0), F.expr("size(embedding) div 8 - 1"))
+    e = table(spark, d, "embeddings").select("label", F.transform(at, lambda k: F.transform(F.slice("embedding", k * 8 + 1, F.lit(8)), lambda x: x.cast("double"))).alias("load"))
+    return R.expert_loads(e, ["label"]).select("label", "expert", F.round("load", 6).alias("load"), F.round("spread", 6).alias("spread"), "layers")

@@ -326,3 +326,12 @@ SELECT row_id, CAST(h AS BIGINT) AS shared_prefix, CAST(la AS BIGINT) AS chosen_
 def preference_examples(spark, d):
     """Both sides whole: 640 tokens is the reference's limit for pairs, above its longest rejected reply."""
     return _preferences(spark, d, PAIR)
+
+
+@query("""SELECT row_id, turn, CASE WHEN role IS NULL THEN 'missing role' WHEN role NOT IN ('user', 'assistant') THEN 'unknown role ''' || role || '''' WHEN text IS NULL THEN 'missing text' END AS problem
+FROM (SELECT row_id, 0 AS turn, meta.style AS role, instruction AS text FROM generated_rows UNION ALL SELECT row_id, 1, 'assistant', response FROM generated_rows)""")
+def role_validation(spark, d):
+    """Why a turn can't be rendered; the first turn of each row has its style for a role."""
+    r = _rows(spark, d)
+    turns = F.array(F.struct(F.lit(0).alias("turn"), F.col("meta.style").alias("role"), F.col("instruction").alias("text")), F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role"), F.col("response").alias("text")))
+    return H.role_problems(r.select("row_id", F.explode(turns).alias("m")).select("row_id", "m.*")).select("row_id", "turn", "problem")
