@@ -52,6 +52,10 @@ def test_hot_segments_lose_nothing(spark):
             assert found(spark, ROWS, slices=slices, hot=hot) == WANT
 
 
+def test_large_batches_are_joined_by_sorting(spark):
+    assert found(spark, ROWS, slices=2, held=0) == WANT
+
+
 def test_reply_keys_meet_within_two_words():
     rng = random.Random(2)
     for _ in range(3000):

@@ -54,12 +54,14 @@ class HistoryRules:
     """``max_words``: words of a response that may differ beside a slip; ``hot``: most entries a segment lists by itself.
 
     ``buckets`` of the tables; a folder keeps the rules it was made with. Up to ``listed`` candidates are looked up by name, so that only their buckets are read.
+    Up to ``held`` rows a bucket, the batch's side of a join is held in memory; a larger one is joined by sorting, which spills.
     """
 
     max_words: int = 2
     hot: int = 64
     buckets: int = 12
     listed: int = 1000
+    held: int = 400_000
 
     @property
     def zones(self) -> int:
@@ -225,10 +227,11 @@ def _verify(max_words: int):
 
 @dataclass(frozen=True)
 class Batch:
-    """A staged batch: its name in the index's tables, its id, its rows in slim form (row_id, arrived, key, mark, entry), and which of the segments it probes are hot."""
+    """A staged batch: its name in the index's tables, its id, its number of rows, these in slim form (row_id, arrived, key, mark, entry), and which of the segments it probes are hot."""
 
     stage: str
     id: str
+    size: int
     rows: DataFrame
     hot: DataFrame | None = None
 
@@ -315,17 +318,17 @@ class HistoryIndex:
         df.select(*columns, F.lit(stage).alias("stage")).write.insertInto(f"{self.name}_{part}")
         return self._part(part, [stage])
 
-    def _probing(self, df: DataFrame, key: str = "key") -> DataFrame:
-        """The batch's side of a join with a table of the index: moved to the buckets there, and the side that is held in memory."""
-        return df.repartition(self.rules.buckets, key).hint("shuffle_hash")
+    def _probing(self, df: DataFrame, key: str, rows: int) -> DataFrame:
+        """The batch's side of a join with a table of the index: moved to the buckets there, and held in memory unless it may have too many rows."""
+        moved = df.repartition(self.rules.buckets, key)
+        return moved.hint("shuffle_hash") if rows <= self.rules.held * self.rules.buckets else moved.hint("merge")
 
     def prepare(self, rows: DataFrame, specs: DataFrame, batch_id: str | None = None) -> Batch:
         """Bring the batch's rows into comparable form and stage them. Without an id the batch is known by its content."""
         rules, stage = self.rules, uuid.uuid4().hex
         full = materialise(normal_rows(rows, specs, rules.zones), "rows")
-        if batch_id is None:
-            n, total = full.agg(F.count("*"), F.sum(F.xxhash64("row_id", "arrived", "key", "mark", "entry").cast("decimal(38,0)"))).first()
-            batch_id = f"{n}-{total or 0}"
+        n, total = full.agg(F.count("*"), F.sum(F.xxhash64("row_id", "arrived", "key", "mark", "entry").cast("decimal(38,0)"))).first()
+        batch_id = f"{n}-{total or 0}" if batch_id is None else batch_id
         order, size = F.struct("arrived", "row_id"), rules.buckets
         own = full.where(F.col("entry").isNotNull()).repartition(size, "entry").groupBy("entry")
         own = own.agg(F.min(order).alias("f"), F.max(order).alias("l"), F.first(F.struct("word", "reply", "probes", "own", "zones")).alias("x"))
@@ -335,7 +338,7 @@ class HistoryIndex:
         self._stage("keys", keys.select("key", "mark", F.col("f.arrived").alias("a0"), F.col("f.row_id").alias("r0"), "several"), stage)
         stored = entries.select(F.explode(F.slice("probes", F.col("own") + 1, F.lit(2))).alias("key"), "entry", "a0", "r0", "zones", "reply")
         self._stage("counts", stored.groupBy("key").agg(F.count("*").alias("n")), stage)
-        batch = Batch(stage, batch_id, full.select("row_id", "arrived", "key", "mark", "entry"))
+        batch = Batch(stage, batch_id, n, full.select("row_id", "arrived", "key", "mark", "entry"))
         hot = self._hot(batch, entries.select(F.explode("probes").alias("key")).distinct())
         if hot is None:
             self._stage("postings", stored, stage)
@@ -348,7 +351,7 @@ class HistoryIndex:
         """Those of the segments that have more than ``hot`` entries by now; None where there are none."""
         if not self.rules.hot:
             return keys
-        probe = self._probing(keys.withColumnRenamed("key", "k"), "k")
+        probe = self._probing(keys.withColumnRenamed("key", "k"), "k", 6 * batch.size)
         known = self._history("counts", batch).join(probe, F.col("key") == F.col("k")).groupBy("key").agg(F.sum("n").alias("n"))
         hot = materialise(known.where(F.col("n") > self.rules.hot).select("key"), "hot")
         return None if hot.isEmpty() else hot
@@ -356,7 +359,7 @@ class HistoryIndex:
     def first_arrivals(self, batch: Batch) -> DataFrame:
         """key, mark and the earliest arrival (a0, r0) of those fields of the batch that stand in several rows, in history or the batch."""
         mine = self._part("keys", [batch.stage]).select(F.col("key").alias("k"), F.col("mark").alias("m"), "several")
-        every = self._history("keys", batch).drop("several").join(self._probing(mine, "k"), (F.col("key") == F.col("k")) & (F.col("mark").bitwiseXOR(F.col("m")) == 0))  # joined by the bucket's column alone
+        every = self._history("keys", batch).drop("several").join(self._probing(mine, "k", batch.size), (F.col("key") == F.col("k")) & (F.col("mark").bitwiseXOR(F.col("m")) == 0))  # joined by the bucket's column alone
         first = every.groupBy("key", "mark").agg(F.min(F.struct("a0", "r0")).alias("f"), F.count("*").alias("n"), F.bool_or("several").alias("several"))
         return first.where("several OR n > 1").select("key", "mark", "f.a0", "f.r0")
 
@@ -371,18 +374,19 @@ class HistoryIndex:
                 probes.withColumnRenamed("k", "key").join(batch.hot, "key", "left_semi"), _spread(rules.zones, rules.max_words), "entry_p bigint, last bigint, zones_p bigint, keys array<bigint>"
             )
             every = every.unionByName(spread.select(F.explode("keys").alias("k"), "entry_p", "last", "zones_p"))
+        most = 6 * batch.size * (1 if batch.hot is None else 16)
         width = 60 // rules.zones
         zone = lambda c, z: F.shiftright(F.col(c), z * width).bitwiseAND(F.lit((1 << width) - 1))
         equal = sum(((zone("zones", z) == zone("zones_p", z)).cast("int") for z in range(rules.zones)), F.lit(0))
         fits = (F.col("key") == F.col("k")) & (F.col("entry") != F.col("entry_p")) & (F.col("a0") <= F.col("last")) & (equal >= rules.zones - 2 * rules.max_words)
-        return self._history("postings", batch).join(self._probing(every, "k"), fits).select("entry_p", "entry", "a0", "r0").distinct()
+        return self._history("postings", batch).join(self._probing(every, "k", most), fits).select("entry_p", "entry", "a0", "r0").distinct()
 
     def stored_texts(self, batch: Batch, pairs: DataFrame) -> DataFrame:
         """The candidates with word and response of the index's entry. A few candidates are named to the scan, which then reads their buckets only."""
         texts = self._history("entries", batch).select("entry", F.col("word").alias("word_s"), F.col("reply").alias("reply_s"))
         if self.rules.listed and len(few := pairs.select("entry").distinct().take(self.rules.listed + 1)) <= self.rules.listed:
             texts = texts.where(F.col("entry").isin([r["entry"] for r in few]))
-        moved = self._probing(pairs.withColumnRenamed("entry", "e"), "e")
+        moved = self._probing(pairs.withColumnRenamed("entry", "e"), "e", pairs.count())
         return texts.join(moved, F.col("entry") == F.col("e")).drop("e")
 
     def check(self, batch: Batch) -> DataFrame:
@@ -391,7 +395,7 @@ class HistoryIndex:
         own = self._part("entries", [batch.stage])
         near = self.stored_texts(batch, pairs)
         mine = own.select(F.col("entry").alias("e"), "word", "reply")
-        near = mine.join(self._probing(near, "entry_p"), F.col("e") == F.col("entry_p")).select("entry_p", "word", "reply", "word_s", "reply_s", "a0", "r0")
+        near = mine.join(self._probing(near, "entry_p", 4 * pairs.count()), F.col("e") == F.col("entry_p")).select("entry_p", "word", "reply", "word_s", "reply_s", "a0", "r0")
         near = python_stage(near, _verify(self.rules.max_words), "entry_p bigint, a0 bigint, r0 bigint").unionByName(own.where("several").select(F.col("entry").alias("entry_p"), "a0", "r0"))
         near = near.groupBy(F.col("entry_p").alias("entry")).agg(F.min(F.struct("a0", "r0")).alias("n"))
         same = self.first_arrivals(batch).select("key", "mark", F.struct("a0", "r0").alias("s"))
