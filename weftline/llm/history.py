@@ -16,7 +16,7 @@ The index lies in one folder and outlives the session; it has four tables, bucke
 ``compact`` merges what many batches left. ``prepare`` stages a batch in these tables under a name of its own, ``check`` probes, ``append`` commits the staged batch by one
 line in ``manifest``. A batch that was staged and never committed is not seen by others, and appending the same batch again (by its
 content, or by the id given) changes nothing. The batch is shuffled into the buckets of the index and joined with the
-tables there: history is neither shuffled nor sorted nor united with anything, only its columns needed are scanned.
+tables there: history is not shuffled, and not sorted unless the batch is too large to be held in memory; only its columns needed are scanned.
 
 No posting list grows beyond ``hot`` entries: once a segment has more, its further entries are stored under the segment together
 with a key of the response, and are probed by such keys. Responses of up to 10 words have as keys what is left when any
