@@ -19,6 +19,14 @@ def test_resumed_run(spark):
     assert (r["best"], r["best_step"], r["first"], r["final"], r["overfit_gap"]) == (1.0, 5, 3.0, 2.0, 1.0)
 
 
+def test_drift_from_zero_is_infinite(spark):
+    """A run whose first loss is 0, or -0, gives what floating point gives for the percentage, not an error."""
+    runs = {"up": (0.0, 2.0), "down": (0.0, -2.0), "none": (0.0, 0.0), "minus": (-0.0, 2.0), "plain": (4.0, 5.0)}
+    m = spark.createDataFrame([(r, i, i, v) for r, vs in runs.items() for i, v in enumerate(vs)], METRICS)
+    got = {r["run_id"]: r["drift_percent"] for r in R.summary(m).select("run_id", F.round("drift_percent", 9).alias("drift_percent")).collect()}
+    assert math.isnan(got.pop("none")) and got == {"up": math.inf, "down": -math.inf, "minus": -math.inf, "plain": 25.0}
+
+
 def test_diverged_runs_leave_the_leaderboard(spark):
     m = spark.createDataFrame([("a", 0, 0, 1.0), ("a", 1, 1, math.nan), ("b", 0, 0, 2.0), ("c", 0, 0, math.inf), ("d", 0, 0, None)], METRICS)
     got = {r["run_id"]: (r["diverged"], r["best"], r["winner"]) for r in R.leaderboard(m, ["val_loss"]).collect()}

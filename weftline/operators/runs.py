@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 
 def summary(metrics: DataFrame, value: str = "val_loss") -> DataFrame:
-    """One row a run: least value (the earliest of equals) and its step, first, last in file order, mean, and the gaps."""
+    """One row a run: least value (the earliest of equals) and its step, first, last in file order, mean, and the gaps.
+
+    A drift from a first value of 0 is infinite in percent, and no number where there is no drift.
+    """
     v = F.col(value)
     known = metrics.where(v.isNotNull())
     out = known.groupBy("run_id").agg(
@@ -20,8 +23,9 @@ def summary(metrics: DataFrame, value: str = "val_loss") -> DataFrame:
         F.avg(v).alias("mean"),
         F.count("*").alias("points"),
     )
-    best = F.col("_b.v")
-    return out.select("run_id", best.alias("best"), F.col("_b.step").alias("best_step"), "first", "final", "mean", "points", (F.col("final") - best).alias("overfit_gap"), (F.col("final") - F.col("first")).alias("drift"), (100 * (F.col("final") - F.col("first")) / F.col("first")).alias("drift_percent"))
+    best, first, drift = F.col("_b.v"), F.col("first"), F.col("final") - F.col("first")
+    percent = F.when(first != 0, 100 * drift / first).otherwise(100 * drift * F.pow(first, F.lit(-1.0)))  # a plain division by 0 is an error
+    return out.select("run_id", best.alias("best"), F.col("_b.step").alias("best_step"), "first", "final", "mean", "points", (F.col("final") - best).alias("overfit_gap"), drift.alias("drift"), percent.alias("drift_percent"))
 
 
 def steady(metrics: DataFrame, value: str = "tok_s", skip: int = 2, least: int = 4) -> DataFrame:
