@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -79,6 +80,39 @@ def test_aggregate_diversity_crosses_samples(spark):
         assert abs(S.diversity_of_groups(s, "g", "i", n).first()[1] - len(set(grams)) / len(grams)) < 1e-12
 
 
+def test_diversity_of_groups_moves_no_samples(spark):
+    """Samples never go through a sort, window or shuffle whole; groups without a name or without grams, orders without value and short ranges are right."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["g", "h", None]), i, [rng.choice("abc") for _ in range(rng.choice([0, 1, 1, 2, 3, 9]))]) for i in range(60)] + [("h", None, list("cab")), ("empty", 1, []), ("one", 1, ["a"]), ("null", 1, None)]
+    s = spark.createDataFrame(rows, "g string, i int, tokens array<string>").repartition(4)
+    ranges = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        for n in (1, 2, 3, 5):
+            df = S.diversity_of_groups(s, "g", "i", n)
+            got = {r[0]: r[1] for r in df.collect()}
+            for g in {r[0] for r in rows}:
+                flat = [w for _, _, t in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, r[1])) for w in t or []]
+                grams = [tuple(flat[i : i + n]) for i in range(len(flat) - n + 1)]
+                assert abs(got.pop(g) - (len(set(grams)) / len(grams) if grams else 0)) < 1e-12
+            assert not got
+            nodes, todo = [], [df._jdf.queryExecution().sparkPlan()]
+            while todo:
+                nodes.append(x := todo.pop())
+                todo += [x.children().apply(k) for k in range(x.children().size())]
+            assert not [x.nodeName() for x in nodes if x.nodeName() in ("Window", "Sort") and "tokens#" in x.output().mkString(",")]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+
+
+def test_source_without_pairs_has_no_diversity(spark, tmp_path):
+    from weftline.plans.analysis import QUERIES
+
+    docs = [(1, "a b a b", "Books"), (2, "one", "letters"), (3, None, "web"), (4, "b a", "books ")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in QUERIES["aggregate_diversity"](spark, str(tmp_path)).collect()] == [("books", 0.6)]
+
+
 def test_schedules(spark):
     s = spark.createDataFrame([(k,) for k in (0, 9, 10, 55, 80, 100)], "s int")
     got = s.select(*(L.multiplier(F.col("s"), k, 10, 100).alias(k) for k in ("cosine", "constant", "wsd"))).collect()

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from weftline.functions.session import materialise
-from weftline.functions.text import ngrams
+from weftline.functions.session import cut, materialise
 
 
 def bigram_model(tokens: DataFrame) -> DataFrame:
@@ -77,20 +76,52 @@ def preference(pairs: DataFrame, by: str, beta: float = 0.1) -> DataFrame:
     )
 
 
+def _grams(tokens: Column, n: int) -> Column:
+    """The windows of n as structs, put together from n shifted slices."""
+    full = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+    return F.explode(F.arrays_zip(*(F.slice(tokens, k + 1, full).alias(f"_{k}") for k in range(n)))).alias("_gram")
+
+
+def _tokens_before(rows: DataFrame, w: WindowSpec, n: int) -> DataFrame:
+    """``_before``: the last n - 1 tokens of the rows before, and ``_tail``: those up to and with the row. rows: _tail, never empty."""
+    last = lambda c: F.slice(c, F.greatest(F.size(c) - n + 2, F.lit(1)), n - 1)
+    before = last(F.concat(*(F.coalesce(F.lag("_tail", k).over(w), F.slice("_tail", 1, 0)) for k in range(n - 1, 0, -1))))
+    return rows.withColumn("_before", before).withColumn("_tail", last(F.concat("_before", "_tail")))
+
+
+def _crossing_grams(samples: DataFrame, by: str, order: str, n: int) -> DataFrame:
+    """by, _gram of the n-grams that begin in one sample and end in a later one.
+
+    Only the first and last n - 1 tokens of a sample are moved. They are sorted in ranges, each handing its last tokens on to the next, so no
+    task sorts a whole group.
+    """
+    tokens = F.col("tokens")
+    ends = samples.where(F.size(tokens) > 0).select(by, order, F.slice(tokens, 1, n - 1).alias("_head"), F.slice(tokens, F.greatest(F.size(tokens) - n + 2, F.lit(1)), n - 1).alias("_tail"))
+    at = F.col(order).asc_nulls_last()
+    ranges = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(cut(ends).repartitionByRange(ranges, F.col(by), at).withColumn("_range", F.spark_partition_id()))  # sorting reads its rows twice
+    w = Window.partitionBy(by, "_range").orderBy(at)
+    own = _tokens_before(placed, w, n).withColumn("_ends", F.lead(F.lit(True)).over(w).isNull())
+    handed = _tokens_before(own.where("_ends").select(by, "_range", "_tail"), Window.partitionBy(by).orderBy("_range"), n)  # groups x ranges rows
+    handed = handed.select(F.col(by).alias("_by"), F.col("_range").alias("_in"), F.col("_before").alias("_handed"))
+    both = own.join(handed, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_in")))
+    lead = F.concat("_handed", "_before")
+    return both.select(by, F.slice(lead, F.greatest(F.size(lead) - n + 2, F.lit(1)), n - 1).alias("_lead"), "_head").select(by, _grams(F.concat("_lead", "_head"), n))
+
+
 def diversity_of_groups(samples: DataFrame, by: str, order: str, n: int) -> DataFrame:
     """Different n-grams over n-grams of each group's samples laid end to end; 0 for fewer than n tokens.
 
-    samples: by, order, tokens. Only the last n - 1 tokens of the samples before go along with a sample, so no group is ever put together.
+    samples: by, order, tokens. The n-grams within a sample are counted where it lies, so neither a group nor a sample is ever moved.
     """
-    w = Window.partitionBy(by).orderBy(order)
-    some = samples.where(F.size("tokens") > 0)
-    tail = F.slice("tokens", F.greatest(F.size("tokens") - n + 2, F.lit(1)), n - 1) if n > 1 else F.array().cast("array<string>")
-    before = F.concat(*(F.coalesce(F.lag("_tail", k).over(w), F.array().cast("array<string>")) for k in range(n - 1, 0, -1))) if n > 1 else F.array().cast("array<string>")
-    lead = some.withColumn("_tail", tail).withColumn("_before", before)
-    lead = lead.withColumn("_before", F.slice("_before", F.greatest(F.size("_before") - n + 2, F.lit(1)), max(1, n - 1)))
-    grams = lead.select(by, F.explode(ngrams(F.concat("_before", "tokens"), n)).alias("_gram"))
-    each = grams.groupBy(by, "_gram").agg(F.count("*").alias("k")).groupBy(by).agg(F.count("*").alias("distinct"), F.sum("k").alias("total"))
-    return samples.select(by).distinct().join(each, by, "left").select(by, F.coalesce(F.col("distinct") / F.col("total"), F.lit(0.0)).alias(f"distinct_{n}"))
+    grams = samples.select(by, _grams(F.col("tokens"), n))
+    if n > 1:
+        grams = grams.unionByName(_crossing_grams(samples, by, order, n))
+    each = grams.groupBy(by, *(F.col(f"_gram._{k}").alias(f"_{k}") for k in range(n))).agg(F.count("*").alias("k"))
+    each = each.groupBy(by).agg(F.count("*").alias("distinct"), F.sum("k").alias("total"))
+    none = samples.select(by).distinct().select(by, F.lit(0).cast("bigint").alias("distinct"), F.lit(0).cast("bigint").alias("total"))
+    sums = each.unionByName(none).groupBy(by).agg(F.sum("distinct").alias("distinct"), F.sum("total").alias("total"))
+    return sums.select(by, F.when(F.col("total") > 0, F.col("distinct") / F.col("total")).otherwise(0.0).alias(f"distinct_{n}"))
 
 
 def softmax_top(scores: DataFrame, k: int, row: str = "vec_id") -> DataFrame:

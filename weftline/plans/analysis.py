@@ -238,7 +238,7 @@ SELECT source, round(count(DISTINCT g) / count(*), 9) AS distinct_2 FROM g GROUP
 def aggregate_diversity(spark, d):
     """Different word pairs over all word pairs of each source's documents laid end to end, pairs across documents included."""
     out = S.diversity_of_groups(_words(spark, d).select("source", "doc_id", F.col("words").alias("tokens")), "source", "doc_id", 2)
-    return out.withColumn("distinct_2", F.round("distinct_2", 9))
+    return out.where("distinct_2 > 0").withColumn("distinct_2", F.round("distinct_2", 9))  # the SQL has no row for a source without pairs
 
 
 @query(f"WITH {_TOKENS} SELECT doc_id, CAST(k AS BIGINT) AS k, md5(array_to_string(words[k * 64 + 1:k * 64 + 64], ' ')) AS x, md5(array_to_string(words[k * 64 + 2:k * 64 + 65], ' ')) AS y FROM (SELECT doc_id, words, unnest(range((len(words) - 1) // 64)) AS k FROM t)")
