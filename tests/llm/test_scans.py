@@ -59,6 +59,16 @@ def test_confusions_are_learnt(spark):
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
 
 
+def test_confusions_are_learnt_from_all_words(spark):
+    """A substitution seen in four words only is learnt, however many other words there are."""
+    from pyspark.sql import functions as F
+
+    words = ["garden", "harbour", "notebook", "library", "chimney", "courtyard"]
+    few = spark.createDataFrame([(w, 1000) for w in words] + [(w.replace("r", "þ", 1) if "r" in w else "þ" + w[1:], 2) for w in words], "word string, n bigint")
+    others = spark.range(600_000).select(F.translate(F.lpad(F.col("id").cast("string"), 6, "0"), "0123456789", "abcdefghij").alias("word"), F.lit(1).cast("bigint").alias("n"))
+    assert S.learnt_confusions(few.unionByName(others), S.ScanRules(support=4)) == [("r", "þ")]
+
+
 def test_sketch_keeps_its_counts_beyond_its_least_size(spark):
     """More different words than the least sketch has cells: the sketch grows, rare words take no cells, and a word never seen isn't known."""
     words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(6000)]

@@ -11,8 +11,8 @@ shared. The reducers hand over dense packed blocks of it, never its cells one by
 
 The channel begins with the confusions known from print and adds those that the texts show: words that equal a word ``excess`` times as
 frequent but for one or two characters are aligned with it, and a substitution that explains enough different words (and a share of all of them that
-no substitution by chance has) joins the inventory. A bounded sample of words is aligned; the probabilities are estimated from all word
-types by a few rounds of expectation and maximisation: how often each confusion explains an odd word as a common one, against how often it could have
+no substitution by chance has) joins the inventory. All word types are aligned, and the probabilities are estimated from all of them
+by a few rounds of expectation and maximisation: how often each confusion explains an odd word as a common one, against how often it could have
 happened.
 
 Each line is decoded over candidate words: the word itself, and words that become it by one or two confusions. An observed
@@ -63,13 +63,12 @@ _SMALL = frozenset("a an and at by for from in of on or the to with de la le du
 class ScanRules:
     """Least and greatest sizes of the sketches as powers of two, rounds of estimation with the probability they start from and the least one of those that occur, and how far a count must exceed the expected misreadings.
 
-    ``sample`` word types are aligned to learn confusions; one is taken over if it explains ``support`` of them and the share ``evident`` of all explained.
+    A confusion is learnt if it explains ``support`` word types and the share ``evident`` of all explained.
     """
 
     words: int = 22
     pairs: int = 21
     most: int = 23
-    sample: int = 100_000
     support: int = 5
     evident: float = 0.005
     rounds: int = 3
@@ -463,21 +462,21 @@ def _sketch(counts: DataFrame, rules: ScanRules) -> Sketch:
 
 
 def learnt_confusions(types: DataFrame, rules: ScanRules) -> list[tuple[str, str]]:
-    """Substitutions (right, seen) of one or two characters by which words turn into much more frequent ones, where they explain enough of a sample of words.
+    """Substitutions (right, seen) of one or two characters by which words turn into much more frequent ones, where they explain enough of all words.
 
-    types: word, n. A word and its frequent one meet by what is left and right of the place that differs.
+    types: word, n. A word and its frequent one meet by what is left and right of the place that differs; hashes stand for both, so long words are not moved.
     """
     long = types.where(F.length("word") >= 4)
-    odd = long.orderBy(F.xxhash64("word")).limit(rules.sample)
     at = lambda k: F.transform(F.sequence(F.lit(1), F.length("word") - k + 1), lambda i: F.struct(i.alias("i"), F.lit(k).alias("k")))
     places = F.flatten(F.array(at(1), at(2)))
 
     def parts(df: DataFrame, name: str) -> DataFrame:
-        each = df.select(F.col("word").alias(f"word_{name}"), F.col("n").alias(f"n_{name}"), F.explode(places).alias("p")).select("*", "p.*")
-        w = F.col(f"word_{name}")
-        return each.select(f"word_{name}", f"n_{name}", F.xxhash64(F.col("i"), w.substr(F.lit(1), F.col("i") - 1), w.substr(F.col("i") + F.col("k"), F.length(w))).alias("key"), w.substr(F.col("i"), F.col("k")).alias(name))
+        each = df.select("word", F.col("n").alias(f"n_{name}"), F.explode(places).alias("p")).select("*", "p.*")
+        w = F.col("word")
+        return each.select(F.xxhash64("word").alias(f"word_{name}"), f"n_{name}", F.xxhash64(F.col("i"), w.substr(F.lit(1), F.col("i") - 1), w.substr(F.col("i") + F.col("k"), F.length(w))).alias("key"), w.substr(F.col("i"), F.col("k")).alias(name))
 
-    met = parts(long.where(F.col("word").rlike(r"^\p{L}+$")), "right").join(parts(odd, "seen"), "key").where(F.col("n_right") >= rules.excess * F.col("n_seen"))
+    common = long.where(F.col("word").rlike(r"^\p{L}+$") & (F.col("n") >= rules.excess))  # no other is so much more frequent than any
+    met = parts(common, "right").drop("word_right").join(parts(long, "seen"), "key").where(F.col("n_right") >= rules.excess * F.col("n_seen"))
     r, s = F.col("right"), F.col("seen")
     ends = (F.substring(r, 1, 1) == F.substring(s, 1, 1)) | (F.substring(r, -1, 1) == F.substring(s, -1, 1))
     met = met.where((F.length(r) + F.length(s) < 4) & ~ends).groupBy("word_seen").agg(F.collect_set(F.struct("right", "seen")).alias("ways"))
